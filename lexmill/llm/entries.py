@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.distinctive import distinctive_terms, most_distinctive
-from lexmill.llm.mixing import mix
+from lexmill.llm.mixing import ALL, mix
 from lexmill.llm.one_ranking import SCORES, outranking, record_scores
 from lexmill.llm.packing import container_use, pack
+from lexmill.llm.subjects import subject_areas, subject_sentences
 from lexmill.llm.term_frequency import mark_words, term_frequencies
 from lexmill.llm.top_n import top_n
 from lexmill.session import materialise
@@ -69,8 +70,27 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
 
 
+def p8_shares_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the usable sources hold."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), total=ALL)[1]
+
+
+def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_sentences(*[table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subject_areas(p9_sentences(spark, sf_dir))
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The make-up of the corpus: sentences and documents by subject."""
+    n = p9_sentences(spark, sf_dir).groupBy("subject").agg(F.sum("n_sentences").alias("n_sentences"), F.count_distinct("doc_id").alias("n_docs"))
+    return n
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p3_frequencies, p4_found, p4_scores, p5_found, p5_order, p7_packed, p7_unused, p8_selection, p8_shares)
+    f.__name__: f for f in (p2_found, p3_found, p3_frequencies, p4_found, p4_scores, p5_found, p5_order, p7_packed, p7_unused, p8_selection, p8_shares, p8_shares_full, p9_found, p9_sentences, p9_composition)
 }
 
 _RECORD_TERMS = """

@@ -10,6 +10,8 @@ from lexmill.operators.positions import RUN, global_positions
 from lexmill.session import materialise
 
 MAX_SOURCES = 10_000
+#: As total: all tokens of the sources that have a target.
+ALL = -1
 
 
 def tempered(shares: dict[str, float], exponent: float, aims: dict[str, float] | None = None) -> dict[str, float]:
@@ -90,7 +92,7 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     usable = sized.join(known, "source")
     tokens = {r["source"]: r["n"] for r in usable.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     aims, repeats = {r["source"]: r["share"] for r in rows}, {r["source"]: r["most"] for r in rows}
-    budget = budgets(tokens, aims, repeats, total)
+    budget = budgets(tokens, aims, repeats, sum(tokens.values()) if total == ALL else total)
     # A source at its limit keeps whole blocks only; rounding must not add another.
     blocks = {s: min(int(b / tokens[s] + 1e-9), repeats[s]) for s, b in budget.items()}
     plan = [(s, blocks[s], max(0.0, b - blocks[s] * tokens[s]) if blocks[s] < repeats[s] else 0.0) for s, b in budget.items()]
