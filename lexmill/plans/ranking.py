@@ -203,7 +203,7 @@ BM = f"""bm AS (SELECT t.query, t.url, term, t.pagerank,
     + CASE WHEN anchor_count > 0 THEN 0.3 * tf_anchor / (1 + {_B['anchor']} * (anchor_length / (av_anchor * anchor_count) - 1)) ELSE 0 END w
     FROM tf t JOIN ln_ l USING (query, url), av),
     bm_score AS (SELECT query, url, sum(w / (1.2 + w) * idf) + CASE WHEN any_value(pagerank) > 0 THEN ln(any_value(pagerank)) ELSE 0 END s FROM bm JOIN qv USING (query, term) GROUP BY 1, 2)"""
-EXCESS = {f: f"(1 + CASE WHEN w_{f} IS NULL THEN 0 ELSE 1.9 / greatest(1 + w_{f} - n, 1) END)" for f in R.FIELDS}
+EXCESS = {f: f"(1 + CASE WHEN w_{f} IS NULL THEN 0 ELSE 1.9::DOUBLE / greatest(1 + w_{f} - n, 1) END)" for f in R.FIELDS}
 RATIO = {f: f"(1 + coalesce(1.9 * n / w_{f}, 0)) * (1 + ln(1 + n_{f}))" for f in R.FIELDS}
 HITS = "hits AS (SELECT query, url, coalesce(list_sum(list_transform(map_values(body_hits), lambda p: coalesce(len(p), 0))), 0)::DOUBLE s, body_length FROM rec)"
 RUN = f"run AS ({_ranked('s', 'hits')})"
