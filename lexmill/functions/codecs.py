@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _bind(value: Column, body) -> Column:
@@ -79,11 +80,11 @@ def gamma_numbers(code: bytes) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def vb_decode(codes: pd.Series) -> pd.Series:
     return codes.map(lambda x: None if x is None else np.cumsum(vb_numbers(x)))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def gamma_decode(codes: pd.Series) -> pd.Series:
     return codes.map(lambda x: None if x is None else np.cumsum(gamma_numbers(x)))

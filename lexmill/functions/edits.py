@@ -7,9 +7,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SUB, INS, DEL, SWAP = 0, 1, 2, 3
 CELLS = 4_000_000
+EDITS = T.ArrayType(T.StructType([T.StructField("op", T.IntegerType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType())]))
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +89,7 @@ def edits_of(table: np.ndarray, a: str, b: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def osa(first: pd.Series, second: pd.Series) -> pd.Series:
     """Distance of two texts; null if one is null."""
     ok = first.notna() & second.notna()
@@ -96,7 +98,7 @@ def osa(first: pd.Series, second: pd.Series) -> pd.Series:
     return out
 
 
-@F.pandas_udf("array<struct<op:int,a:string,b:string>>")
+@F.pandas_udf(EDITS)
 def edit_list(right: pd.Series, typed: pd.Series) -> pd.Series:
     """Edits from the right text to the typed one, both led by `~`; null if one is null."""
     ok = np.flatnonzero((right.notna() & typed.notna()).to_numpy())

@@ -4,12 +4,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _empty_files(spark: SparkSession, pattern: str) -> list[tuple[str]]:
+    """Paths of files without content, which no file source lists."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
+    return [(f.getPath().toString(),) for f in found if f.isFile() and not f.getLen()]
+
+
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(block, doc_name, text) of root/<block>/<file>; a document is a whole file, named block/file."""
-    path = F.col("_metadata.file_path")
-    block = F.url_decode(F.element_at(F.split(path, "/"), -2))
-    name = F.url_decode(F.element_at(F.split(path, "/"), -1))
-    return spark.read.text(f"{root}/*/*", wholetext=True).select(block.alias("block"), F.concat_ws("/", block, name).alias("doc_name"), F.col("value").alias("text"))
+    whole = spark.read.format("binaryFile").load(f"{root}/*/*").select("path", F.decode("content", "UTF-8").alias("text"))
+    empty = spark.createDataFrame(_empty_files(spark, f"{root}/*/*"), "path string").select("path", F.lit("").alias("text"))
+    parts = F.split("path", "/")
+    block, name = F.element_at(parts, -2), F.element_at(parts, -1)
+    return whole.unionByName(empty).select(block.alias("block"), F.concat_ws("/", block, name).alias("doc_name"), "text")
 
 
 def read_lines(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
