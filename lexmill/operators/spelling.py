@@ -59,15 +59,25 @@ def neighbours(queries: DataFrame, uni: DataFrame) -> DataFrame:
 
 
 def word_candidates(words: DataFrame, uni: DataFrame) -> DataFrame:
-    """(word, cand): dictionary words whose character pairs overlap enough with the word's; for one letter, the valid letters."""
+    """(word, cand): dictionary words whose character pairs overlap enough with the word's; for one letter, the valid letters.
+
+    With g pairs in the word, and one at least in the candidate, more than (g + 1) / 3 must be shared, so a candidate
+    has one of the word's pairs that are left when the most frequent t - 1 are taken away, t being the least number
+    to share. Only those are joined; the overlap is then counted in the row, and what falls short is never shuffled.
+    """
     given = words.select("word").distinct()
-    mine = given.select("word", F.explode(char_bigrams(F.col("word"))).alias("gram")).groupBy("word", "gram").agg(F.count(F.lit(1)).alias("times"))
+    grams = kgrams(uni)
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    places = given.select("word", F.explode(char_bigrams(F.col("word"))).alias("gram"))
+    # A pair that no dictionary word has is the rarest.
+    rated = places.join(often, "gram", "left").select("word", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram").alias("r"))
+    least = F.floor((F.length("word")) / 3) + 1
+    rare = rated.groupBy("word").agg(F.array_sort(F.collect_list("r")).alias("all")).select("word", F.explode(F.array_distinct(F.transform(F.slice("all", F.lit(1), F.greatest(F.size("all") - least + 1, F.lit(0)).cast("int")), lambda r: r["gram"]))).alias("gram"))
     n, m = F.length("word"), F.length("term")
-    # The overlap is at most the pairs of the word, and each pair of the candidate counts once a place of the word.
-    near = mine.join(kgrams(uni), "gram").where(m - 1 < 2 * (n - 1))
-    shared = near.groupBy("word", "term").agg(F.sum("times").alias("num"))
-    jaccard = F.try_divide(F.col("num").cast("double"), n + m - 2 - F.col("num"))
-    close = shared.where(jaccard > LEAST_JACCARD).select("word", F.col("term").alias("cand"))
+    num = F.size(F.filter(char_bigrams(F.col("word")), lambda g: F.contains(F.col("term"), g)))
+    # The overlap is at most the pairs of the word.
+    near = rare.join(grams, "gram").where(m - 1 < 2 * (n - 1))
+    close = near.where(F.try_divide(num.cast("double"), n + m - 2 - num) > LEAST_JACCARD).select("word", F.col("term").alias("cand")).distinct()
     single = given.where("length(word) = 1").crossJoin(F.broadcast(valid_letters(uni))).select("word", F.col("letter").alias("cand"))
     return close.unionByName(single)
 
