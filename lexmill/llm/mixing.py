@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.tokens import VOCABULARY, with_tokens
 from lexmill.operators.positions import RUN, global_positions
-from lexmill.session import materialise
+from lexmill.session import materialise, small_batches
 
 MAX_SOURCES = 10_000
 #: As total: all tokens of the sources that have a target.
@@ -87,7 +87,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     rows = wanted.groupBy("source").agg(F.max("share").alias("share"), F.max("most").alias("most")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} target sources")
-    sized = materialise(with_tokens(documents.select("doc_id", name("source").alias("source"), "text"), ["doc_id", "source"], vocabulary=vocabulary).where("n_tokens > 0"), "tokens")
+    with small_batches(documents.sparkSession):
+        named = documents.select("doc_id", name("source").alias("source"), "text")
+        sized = materialise(with_tokens(named, ["doc_id", "source"], vocabulary=vocabulary).where("n_tokens > 0"), "tokens")
     known = F.broadcast(documents.sparkSession.createDataFrame([(r["source"],) for r in rows], "source string"))  # at most MAX_SOURCES rows
     usable = sized.join(known, "source")
     tokens = {r["source"]: r["n"] for r in usable.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}

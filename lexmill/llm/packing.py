@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm.tokens import VOCABULARY, with_tokens
 from lexmill.operators.positions import POS, RUN, global_positions
-from lexmill.session import materialise
+from lexmill.session import materialise, small_batches
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -72,7 +72,8 @@ def pack(documents: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULAR
     the rest. No other text is split. Null and empty texts have no tokens and get one row with a null container.
     Rows that repeat a doc_id are texts of their own. The driver sees the histogram only: at most `capacity` rows.
     """
-    sized = materialise(with_tokens(documents, ["doc_id"], vocabulary=vocabulary), "tokens")
+    with small_batches(documents.sparkSession):
+        sized = materialise(with_tokens(documents, ["doc_id"], vocabulary=vocabulary), "tokens")
     pieces = sized.select("doc_id", "n_tokens", F.expr(f"n_tokens div {capacity}").alias("whole"), (F.col("n_tokens") % capacity).alias("rest"))
     histogram = {r["rest"]: r["n"] for r in pieces.where("rest > 0").groupBy("rest").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots, used = plan(histogram, capacity)

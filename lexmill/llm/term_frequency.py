@@ -1,28 +1,45 @@
 """How often every distinct term occurs, and in how many records, by recursive radix partitioning.
 
 Occurrences are written to disk parted by bits of a hash of the term. A part with more rows than the capacity is
-split by the next bits; once the bits of the term are used up (or a part holds one term only), by bits of a hash of
-the record, which leaves both counts plain sums over the pieces. Each piece that fits is aggregated by DuckDB inside
+split by the next bits; where one term holds most of a part, by bits of a hash of the record, which leaves both
+counts plain sums over the pieces. Each piece that fits is aggregated by DuckDB inside
 one task, reading the piece's files as a stream.
 """
 
+from dataclasses import dataclass
+from math import ceil, log2
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.session import bytes_at, shared_path
+from lexmill.session import shared_path
 
-BITS = 5
-TERM_LEVELS = 4
+#: Bits of one split: as many as make parts of half the capacity, within these bounds.
+FEWEST_BITS, MOST_BITS = 3, 12
+HASH_BITS = 60
 SCHEMA = "term_id int, n_occurrences bigint, doc_freq bigint"
 
 
-def _split(rows: DataFrame, level: int, fan: int) -> DataFrame:
-    """Adds the part at one level of the recursion: hash bits of the term first, of the record after that."""
-    bits = F.xxhash64("term_id") if level < TERM_LEVELS else F.xxhash64("doc_id", F.lit(level))
-    shift = BITS * (level if level < TERM_LEVELS else 0)
-    return rows.withColumn("part", F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(fan - 1)).cast("int"))
+@dataclass
+class _Part:
+    """Rows that share `used` hash bits of their terms; by_record once these no longer split them."""
+
+    rows: DataFrame
+    n: int
+    used: int = 0
+    depth: int = 0
+    by_record: bool = False
+
+    def bits(self, capacity: int) -> int:
+        wanted = max(ceil(log2(max(2 * self.n / capacity, 1))), FEWEST_BITS)
+        return min(wanted, MOST_BITS) if self.by_record else min(wanted, MOST_BITS, HASH_BITS - self.used)
+
+    def split(self, bits: int) -> DataFrame:
+        term = F.shiftrightunsigned(F.xxhash64("term_id"), self.used)
+        of = F.xxhash64("doc_id", F.lit(self.depth)) if self.by_record else term
+        return self.rows.withColumn("part", of.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"))
 
 
 def _count(folders: pd.Series, memory_mb: int) -> pd.DataFrame:
@@ -51,24 +68,25 @@ def term_frequencies(occurrences: DataFrame, capacity: int = 2_000_000, memory_m
     rows = occurrences.select(F.col("term_id").cast("int"), F.col("doc_id").cast("bigint"), F.coalesce(F.col("pos").cast("int"), F.lit(-1)).alias("pos")).where("term_id IS NOT NULL AND doc_id IS NOT NULL")
     root = shared_path(spark, "radix")
     leaves: list[str] = []
-    waiting, level = [rows], 0
+    waiting = [_Part(rows, rows.count())]
     while waiting:
-        split, waiting = waiting, []
-        for i, part in enumerate(split):
-            at = f"{root}/{level}-{i}"
-            fan = 1 << BITS
-            # Files of a part are spread by record, so that a part of any size is written by many tasks.
-            spread = _split(part, level, fan)
-            salt = F.xxhash64("doc_id").bitwiseAND(F.lit(7))
-            spread.repartition(F.col("part"), salt).write.partitionBy("part").option("compression", "zstd").parquet(at)
-            sizes = spark.read.parquet(at).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect() if bytes_at(spark, at) else []
-            for r in sizes:  # at most 2^BITS rows
-                folder = f"{at}/part={r['part']}"
-                if r["n"] <= capacity:
-                    leaves.append(folder)
-                else:
-                    waiting.append(spark.read.schema("term_id int, doc_id bigint, pos int").parquet(folder))
-        level += 1
+        part = waiting.pop()
+        if not part.n:
+            continue
+        at, bits = f"{root}/{len(leaves)}-{len(waiting)}-{part.depth}-{part.n}", part.bits(capacity)
+        # Files of a part are spread by record, so that a part of any size is written by many tasks.
+        salt = F.xxhash64("doc_id").bitwiseAND(F.lit(7))
+        part.split(bits).repartition(F.col("part"), salt).write.partitionBy("part").option("compression", "zstd").parquet(at)
+        for r in spark.read.parquet(at).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2^MOST_BITS rows
+            folder = f"{at}/part={r['part']}"
+            # Rows of one record and term can't be split further; DuckDB takes them with its own spilling.
+            if r["n"] <= capacity or part.by_record and r["n"] > 0.9 * part.n:
+                leaves.append(folder)
+                continue
+            # Twice its even share or more: one term holds most of it, and no bits of terms will split it.
+            used, one_term = part.used + bits, r["n"] >= 2 * part.n / (1 << bits)
+            inner = spark.read.schema("term_id int, doc_id bigint, pos int").parquet(folder)
+            waiting.append(_Part(inner, r["n"], used, part.depth + 1, part.by_record or one_term or used >= HASH_BITS))
     if not leaves:
         return spark.createDataFrame([], SCHEMA)
     folders = spark.createDataFrame([(x, i) for i, x in enumerate(leaves)], "folder string, i int")
