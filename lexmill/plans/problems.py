@@ -35,7 +35,20 @@ def p6_term_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_loaded, p6_found, p6_term_summary, p6_term_percentiles)}
 
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
+_NUMBER = "CASE WHEN regexp_full_match({0}, '[0-9]+') THEN TRY_CAST({0} AS BIGINT) END"
 ORACLES: dict[str, str] = {
+    "p1_found": f"""
+        WITH l AS (SELECT line_id, coalesce(line_text, '') l FROM feature_raw),
+        r AS (SELECT line_id, regexp_full_match(l, '{_FIELD}(?:,{_FIELD})*') q, regexp_extract_all(l || ',', '({_FIELD}),', 1) raw FROM l),
+        f AS (SELECT line_id, q, list_transform(raw, lambda x: trim(CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END, ' ')) f FROM r),
+        n AS (SELECT line_id, q, f, {_NUMBER.format('f[5]')} body, {_NUMBER.format('f[6]')} pr, {_NUMBER.format('f[8]')} cnt,
+            list_transform(list_transform(string_split(f[4], ';'), lambda e: regexp_extract_all(e, '[^ ]+')), lambda t: list_transform(t[2:], lambda x: {_NUMBER.format('x')})) hits FROM f)
+        SELECT line_id, 'quoting' AS reason FROM n WHERE NOT q
+        UNION SELECT line_id, 'columns' FROM n WHERE q AND len(f) <> 8
+        UNION SELECT line_id, 'body_hits' FROM n WHERE q AND len(f) = 8 AND f[4] <> '' AND len(list_filter(hits, lambda h: coalesce(len(h) > 0 AND len(list_filter(h, lambda x: x IS NULL)) = 0 AND list_sort(list_distinct(h)) = h AND h[-1] <= body, false))) <> len(hits)
+        UNION SELECT line_id, 'pagerank' FROM n WHERE q AND len(f) = 8 AND NOT coalesce(pr BETWEEN 0 AND 10, false)
+        UNION SELECT line_id, 'stanford_anchor_count' FROM n WHERE q AND len(f) = 8 AND CASE WHEN f[7] = '' THEN f[8] <> '' ELSE NOT coalesce(cnt BETWEEN 1 AND 2147483647, false) END""",
     "p6_found": """
         WITH held AS (SELECT term_id, count(DISTINCT doc_id) n FROM term_docs WHERE term_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1),
         rec AS (SELECT term_id, sum(coalesce(doc_freq, 0)) n FROM (SELECT DISTINCT * FROM posting_dict WHERE term_id IS NOT NULL) GROUP BY 1)
