@@ -124,4 +124,14 @@ ORACLES: dict[str, str] = {
     "p4_found": f"""
         WITH {_RECORD_TERMS}, w AS (SELECT rec_id, term, (1 + ln(f)) * ln((SELECT count(*) FROM rec) / d) w FROM tf JOIN df USING (term))
         SELECT rec_id, arg_min(term, (-w, term)) AS term FROM w GROUP BY 1""",
+    "p5_found": """
+        WITH r AS (SELECT rec_id, any_value(query) query, any_value(url) url, any_value(coalesce(pagerank, 0)) s1, any_value(coalesce(body_length, 0)) s2,
+            any_value(coalesce(list_sum(map_values(anchors)), 0)) s3, any_value(coalesce(list_sum(list_transform(map_values(body_hits), lambda x: coalesce(len(x), 0))), 0)) s4
+            FROM ranking_features WHERE rec_id IS NOT NULL AND query IS NOT NULL AND url IS NOT NULL GROUP BY 1),
+        l AS (SELECT query, rec_id, url, unnest([1, 2, 3, 4]) k, unnest([s1, s2, s3, s4])::DOUBLE x FROM r),
+        z AS (SELECT *, count(*) OVER (PARTITION BY query, k) n, (2 * (rank() OVER (PARTITION BY query, k ORDER BY x) - 1) + count(*) OVER (PARTITION BY query, k, x)) / (2 * count(*) OVER (PARTITION BY query, k)) z FROM l),
+        p AS (SELECT a.query, a.rec_id, any_value(a.url) url, any_value(a.n) n,
+            round(sum(least(greatest((a.z - b.z) / 0.5::DOUBLE, 0), 1) - least(greatest((b.z - a.z) / 0.5::DOUBLE, 0), 1)) / any_value(a.n - 1) / 4, 9) flow
+            FROM z a JOIN z b ON a.query = b.query AND a.k = b.k AND a.rec_id <> b.rec_id GROUP BY 1, 2)
+        SELECT query, arg_min(url, (-flow, rec_id)) AS url FROM p WHERE n >= 8 GROUP BY 1""",
 }
