@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.edits import edit_list, one_edit, osa
 from lexmill.functions.text import char_bigrams, lm_tokens, tokens
-from lexmill.session import materialise
+from lexmill.session import materialise, partitions
 
 #: Letters of the channel and constants of the model (fixed values).
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789&$+_' "
@@ -72,9 +72,12 @@ def word_candidates(words: DataFrame, uni: DataFrame) -> DataFrame:
     # A pair that no dictionary word has is the rarest.
     rated = places.join(often, "gram", "left").select("word", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram").alias("r"))
     least = F.floor((F.length("word")) / 3) + 1
-    rare = rated.groupBy("word").agg(F.array_sort(F.collect_list("r")).alias("all")).select("word", F.explode(F.array_distinct(F.transform(F.slice("all", F.lit(1), F.greatest(F.size("all") - least + 1, F.lit(0)).cast("int")), lambda r: r["gram"]))).alias("gram"))
+    sorted_ = rated.groupBy("word").agg(F.array_sort(F.collect_list("r")).alias("all")).select("word", F.transform("all", lambda r: r["gram"]).alias("mine"))
+    kept = F.slice("mine", F.lit(1), F.greatest(F.size("mine") - least + 1, F.lit(0)).cast("int"))
+    # Few bytes but much work: spread over all tasks, whatever their size.
+    rare = sorted_.select("word", "mine", F.explode(F.array_distinct(kept)).alias("gram")).repartition(partitions(uni.sparkSession), "word", "gram")
     n, m = F.length("word"), F.length("term")
-    num = F.size(F.filter(char_bigrams(F.col("word")), lambda g: F.contains(F.col("term"), g)))
+    num = F.size(F.filter("mine", lambda g: F.contains(F.col("term"), g)))
     # The overlap is at most the pairs of the word.
     near = rare.join(grams, "gram").where(m - 1 < 2 * (n - 1))
     close = near.where(F.try_divide(num.cast("double"), n + m - 2 - num) > LEAST_JACCARD).select("word", F.col("term").alias("cand")).distinct()
