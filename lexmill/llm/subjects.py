@@ -4,7 +4,8 @@ Two documents are linked when they share terms (words, or whole sentences withou
 more these tell subjects apart. Documents of one subject are all linked to each other, so the links are never listed:
 they stay factored as document - term edges, and a step from documents to documents is a join to the terms, a sum
 there, and a join back. Terms are verified before labels pass through them: enough documents must hold them and the
-labels that reach them must be concentrated on few subjects. Seeds are the hand labels, trusted where the document's
+labels that reach them must be concentrated on few subjects. The most common terms are broadcast; all others, the
+rare ones, are joined to the documents that hold them, with the same result. Seeds are the hand labels, trusted where the document's
 own sentences bear them out, and clamped: a seed's sentences only ever carry its own labels. As sentences are
 labelled one by one, a document keeps as many subjects as its sentences have.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from lexmill.session import materialise, small_batches
 
 MIN_DOCS = 5
+#: So many terms at most are broadcast; the others are joined.
 MAX_TERMS = 200_000
 MAX_SEEDS = 50_000
 ROUNDS = 2
@@ -72,6 +74,14 @@ def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
+def _find(nodes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the values in the sorted nodes, and whether they are there."""
+    if not len(nodes):
+        return np.zeros(len(values), int), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(nodes, values), len(nodes) - 1)
+    return at, nodes[at] == values
+
+
 class _Flat:
     """The edges of a batch of documents as flat arrays: which document each sentence is of, and which sentence each term."""
 
@@ -88,6 +98,22 @@ class _Flat:
             labels = col("labels")
             self.is_seed = pc.is_valid(labels).to_numpy(zero_copy_only=False)
             self.seed = flat(labels)
+        self.rare = (np.array([], np.int64), np.zeros((0, 0)), np.array([]))
+        if b.schema.get_field_index("rare") >= 0:
+            rare = col("rare").flatten()  # nodes of the documents with their weights
+            nodes, first = np.unique(rare.field("node").to_numpy(zero_copy_only=False), return_index=True)
+            weights = [rare.field(i).to_numpy(zero_copy_only=False)[first] for i in range(1, rare.type.num_fields)]
+            self.rare = nodes.astype(np.int64), np.stack(weights[:-1], 1), weights[-1]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different (node, document), by node."""
+        nodes = np.concatenate([self.sentences, self.terms])
+        docs = np.concatenate([self.doc_of, self.doc_of[self.sentence_of]]) if len(nodes) else nodes
+        order = np.lexsort((docs, nodes))
+        nodes, docs = nodes[order], docs[order]
+        fresh = np.ones(len(nodes), bool)
+        fresh[1:] = (nodes[1:] != nodes[:-1]) | (docs[1:] != docs[:-1])
+        return nodes[fresh], docs[fresh]
 
 
 def _counts(batches):
@@ -99,14 +125,7 @@ def _counts(batches):
         return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
 
     for b in batches:
-        x = _Flat(b)
-        nodes = np.concatenate([x.sentences, x.terms])
-        docs = np.concatenate([x.doc_of, x.doc_of[x.sentence_of]]) if len(nodes) else nodes
-        order = np.lexsort((docs, nodes))
-        nodes, docs = nodes[order], docs[order]
-        fresh = np.ones(len(nodes), bool)
-        fresh[1:] = (nodes[1:] != nodes[:-1]) | (docs[1:] != docs[:-1])
-        parts.append(np.unique(nodes[fresh], return_counts=True))
+        parts.append(np.unique(_Flat(b).pairs()[0], return_counts=True))
         if len(parts) >= 64:
             parts = [merge()]
     if parts:
@@ -114,50 +133,67 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["node", "docs"])
 
 
+def _beyond(nodes: np.ndarray):
+    """(row, node): the nodes of each document that are not among the given ones."""
+
+    def run(batches):
+        for b in batches:
+            held, docs = _Flat(b).pairs()
+            m = ~_find(nodes, held)[1]
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("row")).take(pa.array(docs[m])), pa.array(held[m])], ["row", "node"])
+
+    return run
+
+
 class Model:
     """What the verified terms say: for each word a log ratio per subject; for each recurrent sentence how much more
     often than others its documents are on a subject. Where they are not, it is a notice that only names the subject.
 
-    The last column of the sums is what came from sentences on no subject: it takes strength from words of notices."""
+    The last column of the sums is what came from sentences on no subject: it takes strength from words of notices.
+    The nodes are those that are broadcast; rare has the sums over all other words and over all other sentences."""
 
-    def __init__(self, nodes: np.ndarray, is_sentence: np.ndarray, sums: np.ndarray):
-        words, lines = ~is_sentence, is_sentence
-        base = lambda m: (sums[m].sum(0) + 1e-6) / (sums[m].sum() + 1e-6 * sums.shape[1])
+    def __init__(self, nodes: np.ndarray, sums: np.ndarray, rare: np.ndarray):
+        odd = (nodes & 1).astype(bool)
+        every = rare + np.stack([sums[~odd].sum(0), sums[odd].sum(0)])
+        self.bases = (every + 1e-6) / (every.sum(1, keepdims=True) + 1e-6 * sums.shape[1])
+        self.unit = float(np.log(max(sums.shape[1] - 1, 2)))
+        self.nodes = nodes
+        self.weights, self.seen = self.told(nodes, sums)
+
+    def told(self, nodes: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and label mass of the nodes that these sums reached."""
         k = sums.shape[1] - 1
-        self.unit = float(np.log(max(k, 2)))
-        self.nodes, self.weights, self.seen = nodes, np.zeros((len(nodes), k)), np.zeros(len(nodes))
-        for mask in (words, lines):
-            if not mask.any():
-                continue
-            b = base(mask)
+        weights, seen, odd = np.zeros((len(nodes), k)), np.zeros(len(nodes)), (nodes & 1).astype(bool)
+        for mask, b, of_words in ((~odd, self.bases[0], True), (odd, self.bases[1], False)):
             s = sums[mask]
             p = (s + SMOOTHING * b) / (s.sum(1, keepdims=True) + SMOOTHING)
-            if mask is words:
-                gain = (p[:, :k] * np.log((p[:, :k] + 1e-9) / (b[:k] + 1e-9))).sum(1)
-                self.weights[mask] = np.where((gain >= WORD_GAIN * self.unit)[:, None], np.log((p[:, :k] + 1e-3) / (b[:k] + 1e-3)), 0)
-            else:
-                self.weights[mask] = p[:, :k] / np.maximum(b[:k], 1e-9)
-                self.seen[mask] = s.sum(1)
-
-    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.nodes):
-            return np.zeros(len(values), int), np.zeros(len(values), bool)
-        at = np.minimum(np.searchsorted(self.nodes, values), len(self.nodes) - 1)
-        return at, self.nodes[at] == values
+            if not of_words:
+                weights[mask] = p[:, :k] / np.maximum(b[:k], 1e-9)
+                seen[mask] = s.sum(1)
+                continue
+            gain = (p[:, :k] * np.log((p[:, :k] + 1e-9) / (b[:k] + 1e-9))).sum(1)
+            weights[mask] = np.where((gain >= WORD_GAIN * self.unit)[:, None], np.log((p[:, :k] + 1e-3) / (b[:k] + 1e-3)), 0)
+        return weights, seen
 
     def label(self, x: _Flat, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Posterior of each sentence (0 where it is on no subject), sentences by document and subject, and the
         documents' subject distribution."""
-        at, known = self.find(x.terms)
-        rows, of = at[known], x.sentence_of[known]
         n = len(x.sentences)
-        w = self.weights[rows]
-        score = np.stack([np.bincount(of, weights=w[:, j], minlength=n) for j in range(k)], 1) if n else np.zeros((0, k))
-        place, there = self.find(x.sentences)
+        tables = [t for t in ((self.nodes, self.weights, self.seen), x.rare) if len(t[0])]
+        score, there, seen, lift = np.zeros((n, k)), np.zeros(n, bool), np.zeros(n), np.zeros(n)
+        for nodes, weights, _ in tables:
+            at, known = _find(nodes, x.terms)
+            of, w = x.sentence_of[known], weights[at[known]]
+            score += np.stack([np.bincount(of, weights=w[:, j], minlength=n) for j in range(k)], 1)
+        for nodes, weights, mass in tables:
+            at, known = _find(nodes, x.sentences)
+            there |= known
+            seen[known] = mass[at[known]]
+            lift[known] = weights[at[known], score[known].argmax(1)]
         off = score.max(1, initial=-np.inf) < LEAST_SCORE * self.unit
         if n and there.any():
-            notice = self.weights[place, score.argmax(1)] < np.exp(SENTENCE_LIFT * self.unit)
-            off |= there & np.where(self.seen[place] >= SENTENCE_DOCS, notice, score.max(1) < SAFE_SCORE * self.unit)
+            notice = lift < np.exp(SENTENCE_LIFT * self.unit)
+            off |= there & np.where(seen >= SENTENCE_DOCS, notice, score.max(1) < SAFE_SCORE * self.unit)
         allowed = np.zeros(score.shape)
         spread = np.zeros((x.n, k))
         for turn in range(2):
@@ -179,14 +215,20 @@ class Model:
 
 
 def _pass_labels(nodes: np.ndarray, model: Model | None, k: int):
-    """(node, sums): the labels that a task's documents send to the verified terms. Without a model only the seeds
-    send; words get the labels of their sentences, recurrent sentences those of their documents."""
+    """(node, rare, sums): the labels that a task's documents send to the verified terms, those of the nodes and their
+    rare ones. Without a model only the seeds send; words get the labels of their sentences, recurrent sentences those
+    of their documents."""
+    names = ["node", "rare", *[f"s{j}" for j in range(k + 1)]]
+
+    def sent(nodes: np.ndarray, total: np.ndarray, rare: bool) -> pa.RecordBatch:
+        got = total.sum(1) > 0
+        return pa.RecordBatch.from_arrays([pa.array(nodes[got]), pa.array(np.full(got.sum(), rare)), *[pa.array(total[got, j]) for j in range(k + 1)]], names)
 
     def run(batches):
         total = np.zeros((len(nodes), k + 1))
         for b in batches:
             x = _Flat(b)
-            if not len(nodes) or not len(x.sentences):
+            if not len(x.sentences):
                 continue
             if not model:
                 spread = np.zeros((x.n, k))
@@ -196,15 +238,31 @@ def _pass_labels(nodes: np.ndarray, model: Model | None, k: int):
             else:
                 post, _, spread = model.label(x, k)
             mass = (1 / np.maximum(np.bincount(x.doc_of, minlength=x.n) / DOCUMENT_MASS, 1))[x.doc_of]
-            for values, weight, share in ((x.terms, lambda m: post[x.sentence_of[m]], mass[x.sentence_of]), (x.sentences, lambda m: spread[x.doc_of[m]], mass)):
-                at = np.minimum(np.searchsorted(nodes, values), len(nodes) - 1)
-                m = nodes[at] == values
-                w, part = weight(m), share[m]
-                for j in range(k):
-                    total[:, j] += np.bincount(at[m], weights=w[:, j] * part, minlength=len(nodes))
-                total[:, k] += np.bincount(at[m], weights=(1 - w.sum(1)) * part, minlength=len(nodes)) if model else 0
-        got = total.sum(1) > 0
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[got]), *[pa.array(total[got, j]) for j in range(k + 1)]], ["node", *[f"s{j}" for j in range(k + 1)]])
+            of_rare = np.zeros((len(x.rare[0]), k + 1))
+            for to, sums in ((nodes, total), (x.rare[0], of_rare)):
+                if not len(to):
+                    continue
+                for values, weight, share in ((x.terms, lambda m: post[x.sentence_of[m]], mass[x.sentence_of]), (x.sentences, lambda m: spread[x.doc_of[m]], mass)):
+                    at, m = _find(to, values)
+                    w, part = weight(m), share[m]
+                    for j in range(k):
+                        sums[:, j] += np.bincount(at[m], weights=w[:, j] * part, minlength=len(to))
+                    sums[:, k] += np.bincount(at[m], weights=(1 - w.sum(1)) * part, minlength=len(to)) if model else 0
+            if len(of_rare):
+                yield sent(x.rare[0], of_rare, True)
+        yield sent(nodes, total, False)
+
+    return run
+
+
+def _told(model: Model, k: int):
+    """The weights of rare nodes from their sums."""
+
+    def run(batches):
+        for b in batches:
+            nodes, *sums = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            weights, seen = model.told(nodes, np.stack(sums, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(weights[:, j]) for j in range(k)], pa.array(seen)], ["node", *[f"w{j}" for j in range(k)], "seen"])
 
     return run
 
@@ -224,8 +282,9 @@ def subject_sentences(documents: DataFrame, labels: DataFrame, areas: DataFrame,
 
     Texts without such sentences, null and empty ones have no row; repeated documents are labelled each by itself.
     Labels count without outer blanks and letter case; null ones, unknown subjects and repetitions don't. Without any
-    label, or subject, the result is empty. At most max_seeds labelled documents (by hash) are seeds, and at most
-    max_terms terms and recurrent sentences (those in most documents) pass labels on; both bound what is broadcast.
+    label, or subject, the result is empty. At most max_seeds labelled documents (by hash) are seeds. All terms and
+    recurrent sentences in enough documents pass labels on: the max_terms in most documents are broadcast, the
+    others joined, so max_terms bounds the broadcast and does not change the result.
     """
     with small_batches(documents.sparkSession):
         return _subject_sentences(documents, labels, areas, rounds, max_seeds, max_terms)
@@ -239,28 +298,51 @@ def _subject_sentences(documents: DataFrame, labels: DataFrame, areas: DataFrame
     schema = "doc_id bigint, subject string, n_sentences bigint, n_all bigint"
     if not k:
         return spark.createDataFrame([], schema)
-    edges = materialise(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lambda it: map(cut, it), EDGES).where("size(sentences) > 0"), "edges")
+    edges = materialise(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lambda it: map(cut, it), EDGES).where("size(sentences) > 0").withColumn("row", F.monotonically_increasing_id()), "edges")
     counted = edges.mapInArrow(_counts, "node bigint, docs bigint").groupBy("node").agg(F.sum("docs").alias("docs"))
-    held = counted.where(F.col("docs") >= MIN_DOCS).orderBy(F.col("docs").desc(), "node").limit(max_terms)
-    nodes = np.sort(held.select("node").toPandas()["node"].to_numpy(np.int64))  # at most max_terms
+    verified = counted.where(F.col("docs") >= MIN_DOCS)
+    top = verified.orderBy(F.col("docs").desc(), "node").limit(max_terms + 1).toPandas()  # one more tells whether there are rare ones
+    nodes = np.sort(top["node"].to_numpy(np.int64)[:max_terms])
+    rare = held = None
+    if len(top) > max_terms:
+        first = (int(top[c].iloc[max_terms]) for c in ("docs", "node"))
+        rare = materialise(verified.where("docs < {0} OR docs = {0} AND node >= {1}".format(*first)).select("node"), "rare")
+        held = materialise(edges.mapInArrow(_beyond(nodes), "row bigint, node bigint").join(rare, "node"), "held")
     given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), name("subject").alias("s")).where(F.col("doc_id").isNotNull() & F.col("s").isin(subjects))
     flags = [F.max(F.when(F.col("s") == s, 1.0).otherwise(0.0)) for s in subjects]
     seeds = F.broadcast(given.groupBy("doc_id").agg(F.array(*flags).alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_seeds))
     linked = edges.join(seeds, "doc_id", "left")
     columns = [f"s{j}" for j in range(k)]
     sent_columns = [*columns, f"s{k}"]
-    sums_schema = "node bigint, " + ", ".join(f"{c} double" for c in sent_columns)
-
-    def gathered(sent: DataFrame) -> Model:
-        got = sent.groupBy("node").agg(*[F.sum(c).alias(c) for c in sent_columns]).toPandas()  # at most max_terms
-        sums = np.zeros((len(nodes), k + 1))
+    sums_schema = "node bigint, rare boolean, " + ", ".join(f"{c} double" for c in sent_columns)
+    weight_columns = [*[f"w{j}" for j in range(k)], "seen"]
+
+    def with_rare(df: DataFrame, told: DataFrame | None) -> DataFrame:
+        """df with each document's rare nodes and what is told of them."""
+        if held is None:
+            return df
+        each = held.join(told, "node") if told is not None else held.withColumns({c: F.lit(0.0) for c in weight_columns})
+        return df.join(each.groupBy("row").agg(F.collect_list(F.struct("node", *weight_columns)).alias("rare")), "row", "left")
+
+    def gathered(sent: DataFrame) -> tuple[Model, DataFrame | None]:
+        summed = sent.groupBy("node", "rare").agg(*[F.sum(c).alias(c) for c in sent_columns])
+        summed = materialise(summed, "sums") if held is not None else summed
+        got = summed.where("NOT rare").toPandas()  # at most max_terms
+        sums, others = np.zeros((len(nodes), k + 1)), np.zeros((2, k + 1))
         sums[np.searchsorted(nodes, got["node"].to_numpy(np.int64))] = got[sent_columns].to_numpy(float)
-        return Model(nodes, (nodes & 1).astype(bool), sums)
-
-    model = gathered(edges.join(seeds, "doc_id").mapInArrow(_pass_labels(nodes, None, k), sums_schema))
+        if held is None:
+            return Model(nodes, sums, others), None
+        of_rare = summed.where("rare").drop("rare")
+        for r in of_rare.groupBy(F.col("node").bitwiseAND(F.lit(1)).alias("odd")).agg(*[F.sum(c).alias(c) for c in sent_columns]).collect():  # two rows
+            others[r["odd"]] = [r[c] for c in sent_columns]
+        model = Model(nodes, sums, others)
+        every = rare.join(of_rare, "node", "left").select("node", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in sent_columns])
+        return model, materialise(every.mapInArrow(_told(model, k), "node bigint, " + ", ".join(f"{c} double" for c in weight_columns)), "told")
+
+    model, told = gathered(with_rare(edges.join(seeds, "doc_id"), None).mapInArrow(_pass_labels(nodes, None, k), sums_schema))
     for _ in range(rounds - 1):
-        model = gathered(linked.mapInArrow(_pass_labels(nodes, model, k), sums_schema))
-    hits = materialise(edges.mapInArrow(_shares(model, k), "doc_id bigint, " + ", ".join(f"{c} bigint" for c in columns)), "hits")
+        model, told = gathered(with_rare(linked, told).mapInArrow(_pass_labels(nodes, model, k), sums_schema))
+    hits = materialise(with_rare(edges, told).mapInArrow(_shares(model, k), "doc_id bigint, " + ", ".join(f"{c} bigint" for c in columns)), "hits")
     total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), F.col(c).alias("n")) for s, c in zip(subjects, columns)])).alias("e")
     return hits.select("doc_id", total.alias("n_all"), each).where("e.n > 0").select("doc_id", "e.subject", F.col("e.n").alias("n_sentences"), "n_all")

@@ -65,3 +65,13 @@ def test_without_documents_labels_or_subjects(spark):
     assert subject_sentences(df.limit(0), labels, areas(spark)).count() == 0
     assert subject_sentences(df, labels.limit(0), areas(spark)).count() == 0
     assert subject_sentences(df, labels, areas(spark).limit(0)).count() == 0
+
+
+def test_terms_beyond_the_broadcast_count_as_much(spark):
+    docs, truth = corpus()
+    docs += [(7, docs[7][1])]
+    labels = spark.createDataFrame([(i, s) for i in range(60) for s in truth[i]], "doc_id long, subject string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted(map(tuple, subject_sentences(df, labels, areas(spark)).collect()))
+    for bound in (1, 12):
+        assert sorted(map(tuple, subject_sentences(df, labels, areas(spark), max_terms=bound).collect())) == want
