@@ -6,7 +6,9 @@ they stay factored as document - term edges, and a step from documents to docume
 there, and a join back. Terms are verified before labels pass through them: enough documents must hold them and the
 labels that reach them must be concentrated on few subjects. The most common terms are broadcast; all others, the
 rare ones, are joined to the documents that hold them, with the same result. Seeds are the hand labels, trusted where the document's
-own sentences bear them out, and clamped: a seed's sentences only ever carry its own labels. As sentences are
+own sentences bear them out. Seeds of which every label is trusted are clamped: their sentences only ever carry their
+own labels. Where a label is not borne out, null or unknown, the true one in its place is missing, so the others do
+not tell all that the document is on, and its sentences stay free. As sentences are
 labelled one by one, a document keeps as many subjects as its sentences have.
 """
 
@@ -22,7 +24,9 @@ from lexmill.session import materialise, small_batches
 MIN_DOCS = 5
 #: So many terms at most are broadcast; the others are joined.
 MAX_TERMS = 200_000
+#: So many labelled documents at most are broadcast; more are joined.
 MAX_SEEDS = 50_000
+#: Models: of the seeds, and of all documents as that one labels them. More drift away from held-out labels (see README).
 ROUNDS = 2
 SMOOTHING, SENTENCE_DOCS, TRUST = 2.0, 3.0, 0.1
 #: A document sends the labels of at most so many sentences in all; longer ones send each with less weight.
@@ -98,6 +102,7 @@ class _Flat:
             labels = col("labels")
             self.is_seed = pc.is_valid(labels).to_numpy(zero_copy_only=False)
             self.seed = flat(labels)
+            self.complete = pc.fill_null(col("complete"), False).to_numpy(zero_copy_only=False)
         self.rare = (np.array([], np.int64), np.zeros((0, 0)), np.array([]))
         if b.schema.get_field_index("rare") >= 0:
             rare = col("rare").flatten()  # nodes of the documents with their weights
@@ -207,7 +212,7 @@ class Model:
                 given = np.zeros((x.n, k))
                 given[x.is_seed] = x.seed.reshape(-1, k)
                 trusted = (given > 0) & (spread >= TRUST)
-                clamp = trusted.any(1)
+                clamp = x.complete & trusted.any(1) & (trusted == (given > 0)).all(1)
                 allowed = np.where(clamp[:, None] & ~trusted, -30.0, 0.0)[x.doc_of]
         best = post.argmax(1) if n else np.array([], int)
         hits = np.bincount(x.doc_of[~off] * k + best[~off], minlength=x.n * k).reshape(x.n, k) if n else np.zeros((x.n, k))
@@ -282,7 +287,8 @@ def subject_sentences(documents: DataFrame, labels: DataFrame, areas: DataFrame,
 
     Texts without such sentences, null and empty ones have no row; repeated documents are labelled each by itself.
     Labels count without outer blanks and letter case; null ones, unknown subjects and repetitions don't. Without any
-    label, or subject, the result is empty. At most max_seeds labelled documents (by hash) are seeds. All terms and
+    label, or subject, the result is empty. All labelled documents are seeds; they are broadcast
+    up to max_seeds, else joined. All terms and
     recurrent sentences in enough documents pass labels on: the max_terms in most documents are broadcast, the
     others joined, so max_terms bounds the broadcast and does not change the result.
     """
@@ -308,9 +314,11 @@ def _subject_sentences(documents: DataFrame, labels: DataFrame, areas: DataFrame
         first = (int(top[c].iloc[max_terms]) for c in ("docs", "node"))
         rare = materialise(verified.where("docs < {0} OR docs = {0} AND node >= {1}".format(*first)).select("node"), "rare")
         held = materialise(edges.mapInArrow(_beyond(nodes), "row bigint, node bigint").join(rare, "node"), "held")
-    given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), name("subject").alias("s")).where(F.col("doc_id").isNotNull() & F.col("s").isin(subjects))
+    given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), name("subject").alias("s")).where("doc_id IS NOT NULL").withColumn("valid", F.coalesce(F.col("s").isin(subjects), F.lit(False)))
     flags = [F.max(F.when(F.col("s") == s, 1.0).otherwise(0.0)) for s in subjects]
-    seeds = F.broadcast(given.groupBy("doc_id").agg(F.array(*flags).alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_seeds))
+    seeds = given.groupBy("doc_id").agg(F.array(*flags).alias("labels"), F.every("valid").alias("complete"), F.some("valid").alias("any")).where("any").drop("any")
+    if seeds.limit(max_seeds + 1).count() <= max_seeds:
+        seeds = F.broadcast(seeds)
     linked = edges.join(seeds, "doc_id", "left")
     columns = [f"s{j}" for j in range(k)]
     sent_columns = [*columns, f"s{k}"]
@@ -342,7 +350,7 @@ def _subject_sentences(documents: DataFrame, labels: DataFrame, areas: DataFrame
     model, told = gathered(with_rare(edges.join(seeds, "doc_id"), None).mapInArrow(_pass_labels(nodes, None, k), sums_schema))
     for _ in range(rounds - 1):
         model, told = gathered(with_rare(linked, told).mapInArrow(_pass_labels(nodes, model, k), sums_schema))
-    hits = materialise(with_rare(edges, told).mapInArrow(_shares(model, k), "doc_id bigint, " + ", ".join(f"{c} bigint" for c in columns)), "hits")
+    hits = materialise(with_rare(linked, told).mapInArrow(_shares(model, k), "doc_id bigint, " + ", ".join(f"{c} bigint" for c in columns)), "hits")
     total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
     each = F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), F.col(c).alias("n")) for s, c in zip(subjects, columns)])).alias("e")
     return hits.select("doc_id", total.alias("n_all"), each).where("e.n > 0").select("doc_id", "e.subject", F.col("e.n").alias("n_sentences"), "n_all")

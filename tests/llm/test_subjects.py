@@ -75,3 +75,19 @@ def test_terms_beyond_the_broadcast_count_as_much(spark):
     want = sorted(map(tuple, subject_sentences(df, labels, areas(spark)).collect()))
     for bound in (1, 12):
         assert sorted(map(tuple, subject_sentences(df, labels, areas(spark), max_terms=bound).collect())) == want
+
+
+def test_trusted_seeds_are_clamped_in_the_result(spark):
+    docs, truth = corpus()
+    n = len(docs)
+    rng = random.Random(3)
+    for i in range(5):
+        docs.append((n + i, "\n".join(f"some {rng.choice(WORDS[s])} and the {rng.choice(WORDS[s])} with a {rng.choice(WORDS[s])} {rng.choice(WORDS[s])}" for s in ["law"] * 6 + ["food"] * 4)))
+    labels = [(i, s) for i in range(60) for s in truth[i]]
+    # Whole; one label is null, one unknown, one not borne out; none.
+    labels += [(n, "law"), (n + 1, "law"), (n + 1, None), (n + 2, "law"), (n + 2, "lore"), (n + 3, "law"), (n + 3, "sport")]
+    given = spark.createDataFrame(labels, "doc_id long, subject string")
+    for bound in (50_000, 3):
+        got = found(subject_areas(subject_sentences(spark.createDataFrame(docs, "doc_id long, text string"), given, areas(spark), max_seeds=bound)))
+        assert got[n] == {"law"}
+        assert all(got[n + i] == {"law", "food"} for i in range(1, 5))
