@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lexmill.session import materialise, small_batches
 
+MAX_SUBJECTS = 1000
 MIN_DOCS = 5
 #: So many terms at most are broadcast; the others are joined.
 MAX_TERMS = 200_000
@@ -287,7 +288,7 @@ def subject_sentences(documents: DataFrame, labels: DataFrame, areas: DataFrame,
 
     Texts without such sentences, null and empty ones have no row; repeated documents are labelled each by itself.
     Labels count without outer blanks and letter case; null ones, unknown subjects and repetitions don't. Without any
-    label, or subject, the result is empty. All labelled documents are seeds; they are broadcast
+    label, or subject, the result is empty; more than MAX_SUBJECTS subjects are an error. All labelled documents are seeds; they are broadcast
     up to max_seeds, else joined. All terms and
     recurrent sentences in enough documents pass labels on: the max_terms in most documents are broadcast, the
     others joined, so max_terms bounds the broadcast and does not change the result.
@@ -299,8 +300,10 @@ def subject_sentences(documents: DataFrame, labels: DataFrame, areas: DataFrame,
 def _subject_sentences(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int, max_seeds: int, max_terms: int) -> DataFrame:
     spark = documents.sparkSession
     name = lambda c: F.lower(F.trim(F.col(c)))
-    subjects = sorted(r["s"] for r in areas.select(name("subject").alias("s")).where("s IS NOT NULL AND s <> ''").distinct().limit(1000).collect())
+    subjects = sorted(r["s"] for r in areas.select(name("subject").alias("s")).where("s IS NOT NULL AND s <> ''").distinct().limit(MAX_SUBJECTS + 1).collect())
     k = len(subjects)
+    if k > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     schema = "doc_id bigint, subject string, n_sentences bigint, n_all bigint"
     if not k:
         return spark.createDataFrame([], schema)

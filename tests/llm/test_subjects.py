@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm.subjects import subject_areas, subject_sentences
@@ -91,3 +92,11 @@ def test_trusted_seeds_are_clamped_in_the_result(spark):
         got = found(subject_areas(subject_sentences(spark.createDataFrame(docs, "doc_id long, text string"), given, areas(spark), max_seeds=bound)))
         assert got[n] == {"law"}
         assert all(got[n + i] == {"law", "food"} for i in range(1, 5))
+
+
+def test_too_many_subjects_are_an_error(spark):
+    docs, _ = corpus(3)
+    many = spark.createDataFrame([(f"s{i}", "") for i in range(1001)], "subject string, note string")
+    labels = spark.createDataFrame([(0, "s1")], "doc_id long, subject string")
+    with pytest.raises(ValueError, match="subjects"):
+        subject_sentences(spark.createDataFrame(docs, "doc_id long, text string"), labels, many)
