@@ -66,6 +66,11 @@ def p8_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[0]
 
 
+def p8_selection_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the usable sources hold."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"), total=ALL)[0]
+
+
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))[1]
 
@@ -90,7 +95,7 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p3_found, p3_frequencies, p4_found, p4_scores, p5_found, p5_order, p7_packed, p7_unused, p8_selection, p8_shares, p8_shares_full, p9_found, p9_sentences, p9_composition)
+    f.__name__: f for f in (p2_found, p3_found, p3_frequencies, p4_found, p4_scores, p5_found, p5_order, p7_packed, p7_unused, p8_selection, p8_selection_full, p8_shares, p8_shares_full, p9_found, p9_sentences, p9_composition)
 }
 
 _RECORD_TERMS = """

@@ -42,11 +42,13 @@ def exponent_for_entropy(shares: dict[str, float], target: float) -> float:
     return bisect(lambda e: entropy(tempered(shares, e)) <= target)
 
 
-def budgets(tokens: dict[str, int], aims: dict[str, float], repeats: dict[str, int], total: int | None = None) -> dict[str, float]:
+def budgets(tokens: dict[str, int], aims: dict[str, float], repeats: dict[str, int], total: int | None = None, grains: dict[str, float] | None = None) -> dict[str, float]:
     """Tokens for each source. Sources without tokens get none and their share goes to the others in proportion.
 
     Without a total, the largest one is taken at which every source reaches its share within its repeats; the
-    exponent is then 1. With a total, the exponent is bisected to the highest at which no source needs more than its
+    exponent is then 1. Grains are the tokens by which rounding to whole texts misses a source's budget. A source that
+    can give less than half of the others' grains does not decide the total: it is used up to its repeats, as the
+    deviation 2 * (share - most / total) + grains / total, summed over such sources and the others, still falls. With a total, the exponent is bisected to the highest at which no source needs more than its
     repeats allow; sources at their limit are set to it, and the rest of the total is mixed anew among the others,
     until their weights are the aims themselves or all are at their limit.
     """
@@ -55,6 +57,14 @@ def budgets(tokens: dict[str, int], aims: dict[str, float], repeats: dict[str, i
     if not live:
         return {}
     if total is None:
+        sizing = sorted(live, key=lambda s: most[s] / live[s])
+        used = 0
+        while grains and len(sizing) > 1 and 2 * (used + most[sizing[0]]) < sum(grains.get(s, 0) for s in sizing[1:]):
+            used += most[sizing.pop(0)]
+        if used:
+            # The rest is mixed in proportion; the used-up sources have their all.
+            each = most[sizing[0]] / live[sizing[0]]
+            return {s: float(most[s]) if s not in sizing else live[s] * each for s in live}
         return {s: a / sum(live.values()) * min(most[x] / y for x, y in live.items()) * sum(live.values()) for s, a in live.items()}
     done: dict[str, float] = {}
     while len(done) < len(live):
@@ -92,9 +102,12 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
         sized = materialise(with_tokens(named, ["doc_id", "source"], vocabulary=vocabulary).where("n_tokens > 0"), "tokens")
     known = F.broadcast(documents.sparkSession.createDataFrame([(r["source"],) for r in rows], "source string"))  # at most MAX_SOURCES rows
     usable = sized.join(known, "source")
-    tokens = {r["source"]: r["n"] for r in usable.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
+    squares = F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens"))
+    held = usable.groupBy("source").agg(F.sum("n_tokens").alias("n"), squares.alias("nn")).collect()
+    tokens = {r["source"]: r["n"] for r in held}
+    grains = {r["source"]: r["nn"] / r["n"] / 4 for r in held}  # a text at the end of a budget is met by its length, and missed by a quarter of it
     aims, repeats = {r["source"]: r["share"] for r in rows}, {r["source"]: r["most"] for r in rows}
-    budget = budgets(tokens, aims, repeats, sum(tokens.values()) if total == ALL else total)
+    budget = budgets(tokens, aims, repeats, sum(tokens.values()) if total == ALL else total, grains)
     # A source at its limit keeps whole blocks only; rounding must not add another.
     blocks = {s: min(int(b / tokens[s] + 1e-9), repeats[s]) for s, b in budget.items()}
     plan = [(s, blocks[s], max(0.0, b - blocks[s] * tokens[s]) if blocks[s] < repeats[s] else 0.0) for s, b in budget.items()]

@@ -176,3 +176,12 @@ def test_mix_of_nothing(spark):
     assert selection.count() == 0
     assert shares.first().actual_share == 0
     assert M.mix(df, targets.limit(0))[1].count() == 0
+
+
+def test_a_tiny_source_does_not_shrink_the_mix(spark):
+    docs = [(i, "ab"[i % 2], "w " * (200 + i % 7)) for i in range(400)] + [(1000, "tiny", "w " * 10)]
+    targets = spark.createDataFrame([("a", 0.49, 1), ("b", 0.5, 1), ("tiny", 0.01, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in M.mix(spark.createDataFrame(docs, "doc_id long, source string, text string"), targets)[1].collect()}
+    assert got["tiny"].repeats == 1
+    assert sum(r.tokens_taken for r in got.values()) > 0.9 * sum(r.tokens_available for r in got.values())
+    assert got["a"].tokens_taken / got["b"].tokens_taken == pytest.approx(0.98, abs=0.01)
