@@ -48,9 +48,9 @@ def budgets(tokens: dict[str, int], aims: dict[str, float], repeats: dict[str, i
     Without a total, the largest one is taken at which every source reaches its share within its repeats; the
     exponent is then 1. Grains are the tokens by which rounding to whole texts misses a source's budget. A source that
     can give less than half of the others' grains does not decide the total: it is used up to its repeats, as the
-    deviation 2 * (share - most / total) + grains / total, summed over such sources and the others, still falls. With a total, the exponent is bisected to the highest at which no source needs more than its
-    repeats allow; sources at their limit are set to it, and the rest of the total is mixed anew among the others,
-    until their weights are the aims themselves or all are at their limit.
+    deviation 2 * (share - most / total) + grains / total, summed over such sources and the others, still falls. With a
+    total, sources that need more than their repeats allow are set to their limit and the rest of the total is mixed
+    anew by the aims among the others: capped proportional filling, no exponent below 1 has a part in it.
     """
     live = {s: aims[s] for s in aims if tokens.get(s, 0) > 0 and aims[s] > 0 and repeats.get(s, 0) > 0}
     most = {s: tokens[s] * repeats[s] for s in live}
