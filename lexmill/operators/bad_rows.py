@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ["query", "url", "title", "body_hits", "body_length", "pagerank", "anchor_text", "stanford_anchor_count"]
-REASONS = ["offset", "quoting", "columns", "body_hits", "pagerank", "stanford_anchor_count"]
+REASONS = ["offset", "quoting", "columns", "body_hits", "body_length", "pagerank", "stanford_anchor_count"]
 MAX_PAGERANK, MAX_COUNT = 10, 2147483647
 _CUT, _ESC = "\x01", "\x02"
 
@@ -49,9 +49,20 @@ def _fields(s: Column) -> Column:
     return F.transform(parts, lambda x: F.replace(F.replace(x, F.lit(_ESC + "a"), F.lit(_CUT)), F.lit(_ESC + "b"), F.lit(_ESC)))
 
 
+def _digits(x: Column) -> Column:
+    """ASCII digits without leading zeros, null for anything else."""
+    return F.when(x.rlike(r"\A[0-9]+\z"), F.regexp_replace(x, "^0+(?=[0-9])", ""))
+
+
 def _number(x: Column) -> Column:
-    """ASCII digits as a bigint, null for anything else or beyond 18 digits."""
-    return F.when(x.rlike(r"\A0*[0-9]{1,18}\z"), F.expr("bigint(0)") + F.regexp_replace(x, "^0+(?=[0-9])", "").try_cast("bigint"))
+    """Digits as a bigint, null for anything else and beyond its range."""
+    return _digits(x).try_cast("bigint")
+
+
+def _size_key(x: Column) -> Column:
+    """Digits of any length as text that sorts like the number."""
+    d = _digits(x)
+    return F.concat(F.lpad(F.length(d).cast("string"), 10, "0"), d)
 
 
 def _trim(x: Column) -> Column:
@@ -64,14 +75,16 @@ def _entries(hits: Column) -> Column:
 
 
 def _hits_sound(hits: Column, length: Column) -> Column:
+    """Entries of a term and strictly rising numbers up to the length; numbers are compared as text, so none is too long."""
+
     def entry(e: Column) -> Column:
-        numbers = F.transform(F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), _number)
+        numbers = F.transform(F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), _size_key)
         rising = F.aggregate(
             numbers,
-            F.struct(F.lit(-1).cast("bigint").alias("last"), F.lit(True).alias("ok")),
-            lambda a, x: F.struct(F.coalesce(x, F.lit(-1)).alias("last"), (a["ok"] & F.coalesce(x > a["last"], F.lit(False))).alias("ok")),
+            F.struct(F.lit("").alias("last"), F.lit(True).alias("ok")),
+            lambda a, x: F.struct(F.coalesce(x, F.lit("")).alias("last"), (a["ok"] & F.coalesce(x > a["last"], F.lit(False))).alias("ok")),
         )
-        return (F.size(e) >= 2) & (F.element_at(e, 1) != "") & rising["ok"] & F.coalesce(rising["last"] <= length, F.lit(False))
+        return (F.size(e) >= 2) & (F.element_at(e, 1) != "") & rising["ok"] & F.coalesce(rising["last"] <= _size_key(length), F.lit(False))
 
     return (hits == "") | F.forall(_entries(hits), entry)
 
@@ -92,7 +105,8 @@ def _parsed(raw: DataFrame) -> DataFrame:
     checks = F.struct(
         F.col("__f").isNotNull().alias("q"),
         eight.alias("eight"),
-        F.when(eight, _hits_sound(f("body_hits"), _number(f("body_length")))).alias("hits"),
+        F.when(eight, _hits_sound(f("body_hits"), f("body_length"))).alias("hits"),
+        F.when(eight, _number(f("body_length")).isNotNull()).alias("length"),
         F.when(eight, F.coalesce(rank.between(0, MAX_PAGERANK), F.lit(False))).alias("rank"),
         F.when(eight, count_sound).alias("count"),
     )
@@ -105,19 +119,21 @@ def strict_load(raw: DataFrame, offset: str = "line_id", line: str = "line_text"
     Only `offset` and `line` are read, so further columns may have any name. A null line is an empty line (reason
     `columns`); a row without offset can't be told apart from others and gets the reason `offset` beside its own
     reasons; rows that repeat offset and line come out once per delivery in `valid`, and once per reason in
-    `rejected`. Rows with one offset but different lines are judged each by itself. An empty table gives two empty
-    tables. Lines of any length are read whole; nothing recurses over them.
+    `rejected`. Rows with one offset but different lines are judged each by itself. A body_length that is not a number
+    up to 2^63 - 1 could not be loaded and has the reason `body_length`; hits are compared with it exactly, whatever
+    their digits. So what `valid` holds is what the checks let through, and no value can abort a load. An empty table
+    gives two empty tables. Lines of any length are read whole; nothing recurses over them.
     """
     rows = raw.select(F.col(offset).alias("__id"), F.col(line).alias("__line"))
     keyed = rows.withColumn("__print", F.xxhash64(F.coalesce("__line", F.lit(""))))
     f = lambda name: F.col("__f")[FIELDS.index(name)]
     pairs = F.filter(_entries(f("body_hits")), lambda e: F.size(e) >= 2)
-    loaded = _parsed(keyed).where("__id IS NOT NULL AND __ok.q AND __ok.eight AND __ok.hits AND __ok.rank AND __ok.count")
+    loaded = _parsed(keyed).where("__id IS NOT NULL AND __ok.q AND __ok.eight AND __ok.hits AND __ok.length AND __ok.rank AND __ok.count")
     valid = loaded.select(
         F.col("__id").alias(offset),
         *[f(c).alias(c) for c in ("query", "url", "title")],
-        F.transform(pairs, lambda e: F.struct(e[0].alias("term"), F.transform(F.slice(e, 2, F.size(e) - 1), lambda x: _number(x).cast("int")).alias("positions"))).alias("body_hits"),
-        _number(f("body_length")).cast("int").alias("body_length"),
+        F.transform(pairs, lambda e: F.struct(e[0].alias("term"), F.transform(F.slice(e, 2, F.size(e) - 1), _number).alias("positions"))).alias("body_hits"),
+        _number(f("body_length")).alias("body_length"),
         _number(f("pagerank")).cast("int").alias("pagerank"),
         F.nullif(f("anchor_text"), F.lit("")).alias("anchor_text"),
         _number(f("stanford_anchor_count")).cast("int").alias("stanford_anchor_count"),
@@ -131,6 +147,7 @@ def strict_load(raw: DataFrame, offset: str = "line_id", line: str = "line_text"
         F.when(~F.col("__ok.q"), "quoting"),
         F.when(F.col("__ok.q") & ~F.col("__ok.eight"), "columns"),
         F.when(~F.col("__ok.hits"), "body_hits"),
+        F.when(~F.col("__ok.length"), "body_length"),
         F.when(~F.col("__ok.rank"), "pagerank"),
         F.when(~F.col("__ok.count"), "stanford_anchor_count"),
     )

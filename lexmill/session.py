@@ -4,11 +4,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch that goes to Python: whole texts may be long, and batches are else counted in rows.
+BATCH_BYTES = 8 << 20
+
 _local: list[str] = []
+_written: list[str] = []
 
 
 def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
@@ -26,10 +29,14 @@ def local_session(cores: str = "8", partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session whose tasks run in the driver's own process
+    (master `local`) may go without; elsewhere a folder of one machine would lose what others write, so it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="lexmill-"))
         atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
@@ -38,7 +45,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/lexmill-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lexmill-{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -49,16 +58,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Arrow batches of few rows for what runs inside: whole texts may be long, and a batch is counted in rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
+    """As materialise, in n buckets of the key: joins and groups by it with tables of as many buckets need no shuffle."""
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def written() -> int:
+    """How many tables this process has written, for release."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what was written to the shared folder after the first `since` tables. Results still to be read need theirs."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written[since:]:
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    del _written[since:]
 
 
 def partitions(spark: SparkSession) -> int:
