@@ -1,5 +1,10 @@
-"""Text expressions: tokens, counts, urls."""
+"""Text expressions: tokens, counts, urls; Arrow batches of texts in small pieces."""
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +46,16 @@ def char_bigrams(word: Column) -> Column:
     """Neighbouring pairs of characters; none for words of one character."""
     n = F.length(word)
     return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(word, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+
+
+def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of the text column (one row at least), as what is made of texts in
+    Python takes many times their size."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        part = (np.cumsum(sizes, dtype=np.int64) - sizes) // most
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        for at, end in zip(starts, np.append(starts[1:], b.num_rows)):
+            yield b.slice(at, end - at)

@@ -62,25 +62,30 @@ def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
     """As materialise, in n buckets of the key: joins and groups by it with tables of as many buckets need no shuffle."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    name = path.rsplit("/", 1)[1].replace("-", "_")
+    name = _name(path)
     df.repartition(n, key).write.bucketBy(n, key).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 
+def _name(path: str) -> str:
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
 def written() -> int:
     """How many tables this process has written, for release."""
     return len(_written)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes what was written to the shared folder after the first `since` tables. Results still to be read need theirs."""
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Deletes what was written to the shared folder after the first `since` tables, but for the last `keep`. Results
+    still to be read need theirs."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written[since:]:
-        name = path.rsplit("/", 1)[1].replace("-", "_")
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    upto = len(_written) - keep
+    for path in _written[since:upto]:
+        spark.sql(f"DROP TABLE IF EXISTS {_name(path)}")
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
-    del _written[since:]
+    del _written[since:upto]
 
 
 def partitions(spark: SparkSession) -> int:
