@@ -1,42 +1,52 @@
 """Subject areas of documents, by propagating labels over the graph of similar documents.
 
 Two documents are linked when they share terms (words, or whole sentences without their numbers), the stronger the
-more these tell subjects apart. Documents of one subject are all linked to each other, so the links are never listed:
-they stay factored as document - term edges, and a step from documents to documents is a join to the terms, a sum
-there, and a join back. Terms are verified before labels pass through them: enough documents must hold them and the
-labels that reach them must be concentrated on few subjects. The most common terms are broadcast; all others, the
-rare ones, are joined to the documents that hold them, with the same result. Seeds are the hand labels, trusted where the document's
-own sentences bear them out. Seeds of which every label is trusted are clamped: their sentences only ever carry their
-own labels. Where a label is not borne out, null or unknown, the true one in its place is missing, so the others do
-not tell all that the document is on, and its sentences stay free. As sentences are
-labelled one by one, a document keeps as many subjects as its sentences have.
+more these tell subjects apart. Documents of one subject are all linked to each other, so the links are kept factored
+as a table of (document, sentence, term) and never listed as pairs. One step is three joins: labels of sentences go to
+their terms (a sum by term), what the terms tell goes back to the sentences (a sum by sentence), and the sentences of a
+document share what they tell (a sum by document). Steps go on until the documents' labels settle.
+
+Terms are verified before labels pass: enough documents must hold them, and the labels that reach them must be
+concentrated on few subjects. Seeds are the hand labels, trusted where the document's own sentences bear them out. Seeds
+of which every label is trusted are clamped: their sentences only ever carry their own labels. Where a label is not borne
+out, null or unknown, the true one in its place is missing, so the others do not tell all that the document is on, and
+its sentences stay free. As sentences are labelled one by one, a document keeps as many subjects as its sentences have.
+
+The table of links is bucketed by document, so sums by sentence and document are not shuffled. Terms go to the links by
+broadcast where their table is small, else by a join salted by document, so a term in most documents is spread too.
 """
 
+from collections.abc import Iterator
+from math import exp, log
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.session import materialise, small_batches
+from lexmill.functions.text import slices
+from lexmill.session import bucketed, materialise, release, written
 
-MAX_SUBJECTS = 1000
+#: More subjects are an error: each is a column.
+MAX_SUBJECTS = 100
 MIN_DOCS = 5
-#: So many terms at most are broadcast; the others are joined.
-MAX_TERMS = 200_000
-#: So many labelled documents at most are broadcast; more are joined.
-MAX_SEEDS = 50_000
-#: Models: of the seeds, and of all documents as that one labels them. More drift away from held-out labels (see README).
-ROUNDS = 2
+#: Numbers in a table of terms, and labelled documents, that are broadcast; larger tables are joined, with the same result.
+MAX_CELLS, MAX_SEEDS, SALTS = 4_000_000, 50_000, 32
+#: Labels have settled when documents change by this much of their labels on average; and no more than so many steps.
+TOLERANCE, MAX_STEPS = 0.01, 20
 SMOOTHING, SENTENCE_DOCS, TRUST = 2.0, 3.0, 0.1
 #: A document sends the labels of at most so many sentences in all; longer ones send each with less weight.
 DOCUMENT_MASS = 20
 #: In units of ln of the number of subjects, the most that a term can tell.
 WORD_GAIN, SENTENCE_LIFT, LEAST_SCORE, SAFE_SCORE = 0.13, 0.4, 0.43, 1.09
 SHARE = 0.25
+#: Links in a bucket, about.
+BUCKET = 2_000_000
 
-EDGES = "doc_id bigint, sentences array<bigint>, sizes array<int>, terms array<bigint>"
+SENTENCES = "row bigint, doc_id bigint, sid int, mass double, sentence bigint, first boolean, fresh int, words array<bigint>"
+RESULT = "doc_id bigint, subject string, n_sentences bigint, n_all bigint"
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
 
 
@@ -46,9 +56,18 @@ def _hashes(words: pa.Array) -> np.ndarray:
     return known[coded.indices.to_numpy()]
 
 
+def _first(value: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which values are the first of their kind in their document."""
+    order = np.lexsort((np.arange(len(value)), value, of))
+    fresh = np.ones(len(value), bool)
+    fresh[order[1:]] = (value[order[1:]] != value[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
+    return fresh
+
+
 def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Sentences and lines of whole texts as hashes: of the sentence without digits and marks, and of its words."""
-    text = pc.fill_null(batch.column(1), "").cast(pa.large_string())
+    """The sentences and lines of whole texts (row, doc_id, text): a hash of the sentence without digits and marks, and
+    those of its words, the `fresh` words that the document had not before first. Words are even, sentences odd."""
+    text = pc.fill_null(batch.column(2), "").cast(pa.large_string())
     text = pc.replace_substring_regex(text, r"https?://\S+|</?[A-Za-z][^<>]*>", "\n")
     lists = pc.split_pattern_regex(pc.utf8_lower(text), r"[.!?]+\s+|[\r\n]+")
     sentences, doc_of = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
@@ -60,303 +79,214 @@ def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
     clean = pc.utf8_trim(pc.replace_substring_regex(sentences, r"[^\pL]+", " "), " ")
     full = pc.not_equal(clean, "")
     clean, doc_of = clean.filter(full), doc_of[full.to_numpy(zero_copy_only=False)]
+    n = len(clean)
     words = pc.split_pattern(clean, " ")
-    term = _hashes(words.flatten()) if len(clean) else np.array([], np.uint64)
+    term = _hashes(words.flatten()) if n else np.array([], np.uint64)
     starts = words.offsets.to_numpy().astype(np.int64)
     starts = starts - starts[0]
     sizes = np.diff(starts)
+    of = np.repeat(np.arange(n), sizes)
     place = np.arange(len(term)) - np.repeat(starts[:-1], sizes)
-    # Words are even, sentences odd.
-    sent = np.add.reduceat(term * _POWERS[place % len(_POWERS)], starts[:-1]) | np.uint64(1) if len(term) else term
+    sent = (np.add.reduceat(term * _POWERS[place % len(_POWERS)], starts[:-1]) | np.uint64(1)) if n else term
     term = term & ~np.uint64(1)
-    n = batch.num_rows
-    per_doc = np.append(0, np.cumsum(np.bincount(doc_of, minlength=n))).astype(np.int32)
-    per_term = starts[per_doc].astype(np.int32)
-    lists_of = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-    return pa.RecordBatch.from_arrays(
-        [batch.column(0), lists_of(per_doc, pa.array(sent.view(np.int64))), lists_of(per_doc, pa.array(sizes.astype(np.int32))), lists_of(per_term, pa.array(term.view(np.int64)))],
-        ["doc_id", "sentences", "sizes", "terms"],
-    )
-
-
-def _find(nodes: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of the values in the sorted nodes, and whether they are there."""
-    if not len(nodes):
-        return np.zeros(len(values), int), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(nodes, values), len(nodes) - 1)
-    return at, nodes[at] == values
-
-
-class _Flat:
-    """The edges of a batch of documents as flat arrays: which document each sentence is of, and which sentence each term."""
-
-    def __init__(self, b: pa.RecordBatch):
-        col = lambda name: b.column(b.schema.get_field_index(name))
-        self.n, self.ids = b.num_rows, col("doc_id")
-        flat = lambda a: a.flatten().to_numpy(zero_copy_only=False)
-        self.sentences, self.terms = flat(col("sentences")), flat(col("terms"))
-        sizes = flat(col("sizes"))
-        self.doc_of = pc.list_parent_indices(col("sentences")).to_numpy()
-        self.sentence_of = np.repeat(np.arange(len(sizes)), sizes)
-        self.seed = None
-        if b.schema.get_field_index("labels") >= 0:
-            labels = col("labels")
-            self.is_seed = pc.is_valid(labels).to_numpy(zero_copy_only=False)
-            self.seed = flat(labels)
-            self.complete = pc.fill_null(col("complete"), False).to_numpy(zero_copy_only=False)
-        self.rare = (np.array([], np.int64), np.zeros((0, 0)), np.array([]))
-        if b.schema.get_field_index("rare") >= 0:
-            rare = col("rare").flatten()  # nodes of the documents with their weights
-            nodes, first = np.unique(rare.field("node").to_numpy(zero_copy_only=False), return_index=True)
-            weights = [rare.field(i).to_numpy(zero_copy_only=False)[first] for i in range(1, rare.type.num_fields)]
-            self.rare = nodes.astype(np.int64), np.stack(weights[:-1], 1), weights[-1]
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """The different (node, document), by node."""
-        nodes = np.concatenate([self.sentences, self.terms])
-        docs = np.concatenate([self.doc_of, self.doc_of[self.sentence_of]]) if len(nodes) else nodes
-        order = np.lexsort((docs, nodes))
-        nodes, docs = nodes[order], docs[order]
-        fresh = np.ones(len(nodes), bool)
-        fresh[1:] = (nodes[1:] != nodes[:-1]) | (docs[1:] != docs[:-1])
-        return nodes[fresh], docs[fresh]
-
-
-def _counts(batches):
-    """(node, docs): the number of documents of a task that hold each term or sentence."""
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merge() -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(keys)).astype(np.int64)
-
-    for b in batches:
-        parts.append(np.unique(_Flat(b).pairs()[0], return_counts=True))
-        if len(parts) >= 64:
-            parts = [merge()]
-    if parts:
-        keys, n = merge()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["node", "docs"])
-
-
-def _beyond(nodes: np.ndarray):
-    """(row, node): the nodes of each document that are not among the given ones."""
+    fresh = _first(term, doc_of[of] if n else of)
+    order = np.lexsort((place, ~fresh, of))
+    per_doc = np.bincount(doc_of, minlength=batch.num_rows)
+    sid = np.arange(n) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    mass = 1 / np.maximum(per_doc[doc_of] / DOCUMENT_MASS, 1)
+    at = pa.array(doc_of, pa.int64())
+    values = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(term[order].view(np.int64)))
+    counted = np.bincount(of[fresh], minlength=n).astype(np.int32)
+    columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(sid.astype(np.int32)), pa.array(mass), pa.array(sent.view(np.int64)), pa.array(_first(sent, doc_of)), pa.array(counted), values]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SENTENCES.split(", ")])
 
-    def run(batches):
-        for b in batches:
-            held, docs = _Flat(b).pairs()
-            m = ~_find(nodes, held)[1]
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("row")).take(pa.array(docs[m])), pa.array(held[m])], ["row", "node"])
 
-    return run
+def _plus(terms: list[str]) -> str:
+    return "(" + " + ".join(terms) + ")"
 
 
-class Model:
-    """What the verified terms say: for each word a log ratio per subject; for each recurrent sentence how much more
-    often than others its documents are on a subject. Where they are not, it is a notice that only names the subject.
-
-    The last column of the sums is what came from sentences on no subject: it takes strength from words of notices.
-    The nodes are those that are broadcast; rare has the sums over all other words and over all other sentences."""
-
-    def __init__(self, nodes: np.ndarray, sums: np.ndarray, rare: np.ndarray):
-        odd = (nodes & 1).astype(bool)
-        every = rare + np.stack([sums[~odd].sum(0), sums[odd].sum(0)])
-        self.bases = (every + 1e-6) / (every.sum(1, keepdims=True) + 1e-6 * sums.shape[1])
-        self.unit = float(np.log(max(sums.shape[1] - 1, 2)))
-        self.nodes = nodes
-        self.weights, self.seen = self.told(nodes, sums)
-
-    def told(self, nodes: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights and label mass of the nodes that these sums reached."""
-        k = sums.shape[1] - 1
-        weights, seen, odd = np.zeros((len(nodes), k)), np.zeros(len(nodes)), (nodes & 1).astype(bool)
-        for mask, b, of_words in ((~odd, self.bases[0], True), (odd, self.bases[1], False)):
-            s = sums[mask]
-            p = (s + SMOOTHING * b) / (s.sum(1, keepdims=True) + SMOOTHING)
-            if not of_words:
-                weights[mask] = p[:, :k] / np.maximum(b[:k], 1e-9)
-                seen[mask] = s.sum(1)
-                continue
-            gain = (p[:, :k] * np.log((p[:, :k] + 1e-9) / (b[:k] + 1e-9))).sum(1)
-            weights[mask] = np.where((gain >= WORD_GAIN * self.unit)[:, None], np.log((p[:, :k] + 1e-3) / (b[:k] + 1e-3)), 0)
-        return weights, seen
-
-    def label(self, x: _Flat, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Posterior of each sentence (0 where it is on no subject), sentences by document and subject, and the
-        documents' subject distribution."""
-        n = len(x.sentences)
-        tables = [t for t in ((self.nodes, self.weights, self.seen), x.rare) if len(t[0])]
-        score, there, seen, lift = np.zeros((n, k)), np.zeros(n, bool), np.zeros(n), np.zeros(n)
-        for nodes, weights, _ in tables:
-            at, known = _find(nodes, x.terms)
-            of, w = x.sentence_of[known], weights[at[known]]
-            score += np.stack([np.bincount(of, weights=w[:, j], minlength=n) for j in range(k)], 1)
-        for nodes, weights, mass in tables:
-            at, known = _find(nodes, x.sentences)
-            there |= known
-            seen[known] = mass[at[known]]
-            lift[known] = weights[at[known], score[known].argmax(1)]
-        off = score.max(1, initial=-np.inf) < LEAST_SCORE * self.unit
-        if n and there.any():
-            notice = lift < np.exp(SENTENCE_LIFT * self.unit)
-            off |= there & np.where(seen >= SENTENCE_DOCS, notice, score.max(1) < SAFE_SCORE * self.unit)
-        allowed = np.zeros(score.shape)
-        spread = np.zeros((x.n, k))
-        for turn in range(2):
-            z = score + allowed + (np.log(spread + 0.02)[x.doc_of] if turn else 0)
-            post = np.exp(z - z.max(1, keepdims=True, initial=-np.inf)) if n else z
-            post /= post.sum(1, keepdims=True) if n else 1
-            post[off] = 0
-            sums = np.stack([np.bincount(x.doc_of, weights=post[:, j], minlength=x.n) for j in range(k)], 1)
-            spread = sums / np.maximum(sums.sum(1, keepdims=True), 1e-9)
-            if turn == 0 and x.seed is not None and x.is_seed.any():
-                given = np.zeros((x.n, k))
-                given[x.is_seed] = x.seed.reshape(-1, k)
-                trusted = (given > 0) & (spread >= TRUST)
-                clamp = x.complete & trusted.any(1) & (trusted == (given > 0)).all(1)
-                allowed = np.where(clamp[:, None] & ~trusted, -30.0, 0.0)[x.doc_of]
-        best = post.argmax(1) if n else np.array([], int)
-        hits = np.bincount(x.doc_of[~off] * k + best[~off], minlength=x.n * k).reshape(x.n, k) if n else np.zeros((x.n, k))
-        return post, hits, spread
-
-
-def _pass_labels(nodes: np.ndarray, model: Model | None, k: int):
-    """(node, rare, sums): the labels that a task's documents send to the verified terms, those of the nodes and their
-    rare ones. Without a model only the seeds send; words get the labels of their sentences, recurrent sentences those
-    of their documents."""
-    names = ["node", "rare", *[f"s{j}" for j in range(k + 1)]]
-
-    def sent(nodes: np.ndarray, total: np.ndarray, rare: bool) -> pa.RecordBatch:
-        got = total.sum(1) > 0
-        return pa.RecordBatch.from_arrays([pa.array(nodes[got]), pa.array(np.full(got.sum(), rare)), *[pa.array(total[got, j]) for j in range(k + 1)]], names)
+def _softmax(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
 
-    def run(batches):
-        total = np.zeros((len(nodes), k + 1))
-        for b in batches:
-            x = _Flat(b)
-            if not len(x.sentences):
-                continue
-            if not model:
-                spread = np.zeros((x.n, k))
-                spread[x.is_seed] = x.seed.reshape(-1, k)
-                spread /= np.maximum(spread.sum(1, keepdims=True), 1e-9)
-                post = spread[x.doc_of]
-            else:
-                post, _, spread = model.label(x, k)
-            mass = (1 / np.maximum(np.bincount(x.doc_of, minlength=x.n) / DOCUMENT_MASS, 1))[x.doc_of]
-            of_rare = np.zeros((len(x.rare[0]), k + 1))
-            for to, sums in ((nodes, total), (x.rare[0], of_rare)):
-                if not len(to):
-                    continue
-                for values, weight, share in ((x.terms, lambda m: post[x.sentence_of[m]], mass[x.sentence_of]), (x.sentences, lambda m: spread[x.doc_of[m]], mass)):
-                    at, m = _find(to, values)
-                    w, part = weight(m), share[m]
-                    for j in range(k):
-                        sums[:, j] += np.bincount(at[m], weights=w[:, j] * part, minlength=len(to))
-                    sums[:, k] += np.bincount(at[m], weights=(1 - w.sum(1)) * part, minlength=len(to)) if model else 0
-            if len(of_rare):
-                yield sent(x.rare[0], of_rare, True)
-        yield sent(nodes, total, False)
 
-    return run
+def _settle(k: int, unit: float):
+    """What the sentences of a document make of their scores together; rows come by document."""
 
-
-def _told(model: Model, k: int):
-    """The weights of rare nodes from their sums."""
-
-    def run(batches):
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows in batches that end with a document."""
+        kept: list[pa.RecordBatch] = []
         for b in batches:
-            nodes, *sums = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            weights, seen = model.told(nodes, np.stack(sums, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(weights[:, j]) for j in range(k)], pa.array(seen)], ["node", *[f"w{j}" for j in range(k)], "seen"])
-
-    return run
+            rows = b.column(0).to_numpy()
+            last = np.flatnonzero(rows != rows[-1])
+            cut_at = last[-1] + 1 if len(last) else 0
+            if cut_at or (kept and kept[-1].column(0)[-1].as_py() != rows[0]):
+                yield pa.Table.from_batches([*kept, b.slice(0, cut_at)]).combine_chunks().to_batches()[0]
+                kept = []
+            kept.append(b.slice(cut_at))
+        if kept:
+            yield pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
 
-
-def _shares(model: Model, k: int):
     def run(batches):
-        for b in batches:
-            x = _Flat(b)
-            _, hits, _ = model.label(x, k)
-            yield pa.RecordBatch.from_arrays([x.ids, *[pa.array(hits[:, j].astype(np.int64)) for j in range(k)]], ["doc_id", *[f"s{j}" for j in range(k)]])
+        for b in whole(x for x in batches if x.num_rows):
+            table = lambda at, b=b: np.stack([b.column(at + j).to_numpy(zero_copy_only=False).astype(float) for j in range(k)], 1)
+            x, lift, seen = table(5), table(5 + k), b.column(3).to_numpy(zero_copy_only=False).astype(float)
+            top, at = x.max(1), x.argmax(1)
+            # A recurrent sentence must be of documents on that subject; where too few are known, it must tell by itself.
+            known = lift[np.arange(len(x)), at] >= exp(SENTENCE_LIFT * unit)
+            on = (top >= LEAST_SCORE * unit) & (np.isnan(seen) | np.where(seen >= SENTENCE_DOCS, known, top >= SAFE_SCORE * unit))
+            if not on.any():
+                continue
+            x, rows = x[on], b.column(0).to_numpy()[on]
+            starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            of = np.cumsum(np.append(False, rows[1:] != rows[:-1]))
+            spread = np.add.reduceat(_softmax(x), starts)
+            spread /= spread.sum(1, keepdims=True)
+            given = np.nan_to_num(table(5 + 2 * k)[on][starts])
+            complete = pc.fill_null(b.column(4), False).to_numpy(zero_copy_only=False)[on][starts]
+            clamp = complete & ((given == 0) | (spread >= TRUST)).all(1)
+            z = x + (np.log(spread + 0.02) - 30.0 * (clamp[:, None] & (given == 0)))[of]
+            p = _softmax(z).round(4).astype(np.float32)
+            kept = pa.array(on)
+            yield pa.RecordBatch.from_arrays([*[b.column(j).filter(kept) for j in range(3)], pa.array(z.argmax(1).astype(np.int32)), *[pa.array(p[:, j]) for j in range(k)]], ["row", "doc_id", "sid", "best", *[f"p{j}" for j in range(k)]])
 
     return run
 
 
-def subject_sentences(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = ROUNDS, max_seeds: int = MAX_SEEDS, max_terms: int = MAX_TERMS) -> DataFrame:
+def _grouped(df: DataFrame, keys: list[str], *sums: str) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(x) for x in sums])
+
+
+class _Graph:
+    """Links (row, doc_id, sid, mass, node) of documents and their sentences to verified terms, and the seeds by row."""
+
+    def __init__(self, documents: DataFrame, labels: DataFrame, subjects: list[str], max_seeds: int, max_cells: int):
+        self.subjects, self.k, self.max_cells = subjects, len(subjects), max_cells
+        self.unit = log(max(self.k, 2))
+        rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        raw = materialise(rows.mapInArrow(lambda it: map(cut, slices(it, "text")), SENTENCES), "sentences")
+        each = raw.select("mass", "first", "fresh", F.size("words").alias("n"), F.posexplode(F.concat("words", F.array("sentence"))).alias("at", "node"))
+        new = (F.col("at") < F.col("fresh")) | ((F.col("at") == F.col("n")) & F.col("first"))
+        counted = each.groupBy("node").agg(F.count_if(new).alias("docs"), F.sum("mass").alias("mass"))
+        self.nodes = materialise(counted.where(F.col("docs") >= MIN_DOCS), "nodes")
+        found = self.nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("docs"), F.lit(0)).alias("links")).first()
+        self.small = found["n"] * (self.k + 3) <= max_cells
+        self.n = max(raw.sparkSession.sparkContext.defaultParallelism, -(-found["links"] // BUCKET))
+        links = raw.select("row", "doc_id", "sid", "mass", F.explode(F.concat("words", F.array("sentence"))).alias("node"))
+        self.links = bucketed(self.to_links(links, self.nodes.select("node")), "row", self.n, "links")
+        name = F.lower(F.trim(F.col("subject")))
+        given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), name.alias("s")).where("doc_id IS NOT NULL").withColumn("valid", F.coalesce(F.col("s").isin(subjects), F.lit(False)))
+        flags = [F.max(F.when(F.col("s") == s, 1.0).otherwise(0.0)).alias(f"g{j}") for j, s in enumerate(subjects)]
+        seeds = given.groupBy("doc_id").agg(*flags, F.every("valid").alias("complete"), F.some("valid").alias("any")).where("any").drop("any")
+        if seeds.limit(max_seeds + 1).count() <= max_seeds:
+            seeds = F.broadcast(seeds)
+        self.seeds = bucketed(raw.where("sid = 0").select("row", "doc_id").join(seeds, "doc_id").drop("doc_id"), "row", self.n, "seeds")
+
+    def columns(self, letter: str, more: int = 0) -> list[str]:
+        return [f"{letter}{j}" for j in range(self.k + more)]
+
+    def to_links(self, links: DataFrame, terms: DataFrame) -> DataFrame:
+        """The links to these terms, with what the terms' table has."""
+        if self.small:
+            return links.join(F.broadcast(terms), "node")
+        salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+        spread = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return links.withColumn("salt", salt).join(spread, ["node", "salt"]).drop("salt")
+
+    def summed(self, sent: DataFrame, of_all: bool) -> DataFrame:
+        """(node, mass, s0 ... sk): the labels sent to each term; the last is what came from sentences on no subject, if all sent."""
+        s = self.columns("s")
+        every = self.nodes.join(_grouped(sent, ["node"], *[f"sum({c}) AS {c}" for c in s]), "node", "left").selectExpr("node", "mass", *[f"coalesce({c}, 0D) AS {c}" for c in s])
+        return materialise(every.selectExpr("*", f"{f'greatest(mass - {_plus(s)}, 0D)' if of_all else '0D'} AS s{self.k}"), "sums")
+
+    def from_seeds(self) -> DataFrame:
+        """Sums of the seeds' labels: each sentence of a seed sends what the seed is labelled."""
+        g = self.columns("g")
+        shared = self.seeds.selectExpr("row", *[f"{c} / {_plus(g)} AS {c}" for c in g])
+        sent = self.links.join(shared.hint("shuffle_hash"), "row").selectExpr("node", *[f"{c} * mass AS s{j}" for j, c in enumerate(g)])
+        return self.summed(sent, False)
+
+    def from_all(self, told: DataFrame) -> DataFrame:
+        """Sums of the labels of all sentences: words get those of their sentences, recurrent sentences those of their documents."""
+        to_words = self.links.where("node & 1 = 0").join(told.drop("doc_id", "best").hint("shuffle_hash"), ["row", "sid"])
+        to_sentences = self.links.where("node & 1 = 1").join(self.spread(told).hint("shuffle_hash"), "row")
+        sent = [df.selectExpr("node", *[f"{x}{j} * mass AS s{j}" for j in range(self.k)]) for df, x in ((to_words, "p"), (to_sentences, "q"))]
+        return self.summed(sent[0].unionByName(sent[1]), True)
+
+    def spread(self, told: DataFrame) -> DataFrame:
+        """(row, q0 ...): the share of each subject in a document's sentences that are on any."""
+        q = self.columns("q")
+        return _grouped(told, ["row"], *[f"sum(p{j}) AS {c}" for j, c in enumerate(q)]).selectExpr("row", *[f"{c} / {_plus(q)} AS {c}" for c in q])
+
+    def telling(self, sums: DataFrame) -> DataFrame:
+        """(node, seen, w0 ...): for words that tell subjects apart a log ratio by subject, for recurrent sentences how much
+        more often than others their documents are on a subject (where they are not, it is a notice that names it)."""
+        k, s = self.k, self.columns("s", 1)
+        bases = np.zeros((2, k + 1))
+        for r in _grouped(sums.selectExpr("node & 1 AS odd", *s), ["odd"], *[f"sum({c}) AS {c}" for c in s]).collect():  # two rows
+            bases[r["odd"]] = [r[c] for c in s]
+        bases = (bases + 1e-6) / (bases.sum(1, keepdims=True) + 1e-6 * len(s))
+        share = lambda b: [f"({c} + {SMOOTHING * x!r}D) / ({_plus(s)} + {SMOOTHING}D) AS p{j}" for j, (c, x) in enumerate(zip(s[:-1], b.tolist()))]
+        gain = _plus([f"p{j} * ln((p{j} + 1e-9D) / {x + 1e-9!r}D)" for j, x in enumerate(bases[0, :k].tolist())])
+        words = sums.where("node & 1 = 0").selectExpr("node", *share(bases[0])).where(f"{gain} >= {WORD_GAIN * self.unit}D")
+        words = words.selectExpr("node", "0D AS seen", *[f"ln((p{j} + 1e-3D) / {x + 1e-3!r}D) AS w{j}" for j, x in enumerate(bases[0, :k].tolist())])
+        sentences = sums.where("node & 1 = 1").selectExpr("node", f"{_plus(s)} AS seen", *share(bases[1]))
+        return words.unionByName(sentences.selectExpr("node", "seen", *[f"p{j} / {max(x, 1e-9)!r}D AS w{j}" for j, x in enumerate(bases[1, :k].tolist())]))
+
+    def labelled(self, terms: DataFrame) -> DataFrame:
+        """(row, doc_id, sid, best, p0 ...): the sentences on any subject with the probability of each."""
+        x, lift, g, p = (self.columns(c) for c in "xlgp")
+        scores = [f"sum(CASE WHEN node & 1 = 0 THEN w{j} ELSE 0D END) AS {c}" for j, c in enumerate(x)]
+        lifts = [f"max(CASE WHEN node & 1 = 1 THEN w{j} END) AS {c}" for j, c in enumerate(lift)]
+        # seen is null where no recurrent sentence is there.
+        by = _grouped(self.to_links(self.links.drop("mass"), terms), ["row", "doc_id", "sid"], *scores, *lifts, "max(CASE WHEN node & 1 = 1 THEN seen END) AS seen")
+        on = by.where(" OR ".join(f"{c} >= {LEAST_SCORE * self.unit}D" for c in x)).join(self.seeds.hint("shuffle_hash"), "row", "left")
+        columns = ["row", "doc_id", "sid", "seen", "complete", *x, *lift, *g]
+        settled = on.select(*columns).sortWithinPartitions("row").mapInArrow(_settle(self.k, self.unit), "row bigint, doc_id bigint, sid int, best int, " + ", ".join(f"{c} float" for c in p))
+        return bucketed(settled, "row", self.n, "told")
+
+    def change(self, before: DataFrame, after: DataFrame) -> float:
+        """Half the sum of differences of a document's shares, on average over the documents with any."""
+        q = self.columns("q")
+        b = self.spread(after).selectExpr("row", *[f"{c} AS b{c}" for c in q])
+        both = self.spread(before).join(b.hint("shuffle_hash"), "row", "full_outer")
+        apart = _plus([f"abs(coalesce({c}, 0D) - coalesce(b{c}, 0D))" for c in q])
+        return both.agg(F.expr(f"avg({apart} / 2) AS d")).first()["d"] or 0.0
+
+
+def subject_sentences(
+    documents: DataFrame, labels: DataFrame, areas: DataFrame, tolerance: float = TOLERANCE, max_steps: int = MAX_STEPS, max_seeds: int = MAX_SEEDS, max_cells: int = MAX_CELLS
+) -> DataFrame:
     """(doc_id, subject, n_sentences, n_all): how many of a text's n_all sentences on any subject are on each.
 
     Texts without such sentences, null and empty ones have no row; repeated documents are labelled each by itself.
     Labels count without outer blanks and letter case; null ones, unknown subjects and repetitions don't. Without any
-    label, or subject, the result is empty; more than MAX_SUBJECTS subjects are an error. All labelled documents are seeds; they are broadcast
-    up to max_seeds, else joined. All terms and
-    recurrent sentences in enough documents pass labels on: the max_terms in most documents are broadcast, the
-    others joined, so max_terms bounds the broadcast and does not change the result.
+    label, or subject, the result is empty; more than MAX_SUBJECTS subjects are an error. All labelled documents are
+    seeds. Labels are propagated until they change by less than the tolerance; if they have not after max_steps, that is
+    an error. max_seeds and max_cells bound what is broadcast, and do not change the result.
     """
-    with small_batches(documents.sparkSession):
-        return _subject_sentences(documents, labels, areas, rounds, max_seeds, max_terms)
-
-
-def _subject_sentences(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int, max_seeds: int, max_terms: int) -> DataFrame:
     spark = documents.sparkSession
-    name = lambda c: F.lower(F.trim(F.col(c)))
-    subjects = sorted(r["s"] for r in areas.select(name("subject").alias("s")).where("s IS NOT NULL AND s <> ''").distinct().limit(MAX_SUBJECTS + 1).collect())
-    k = len(subjects)
-    if k > MAX_SUBJECTS:
+    name = F.lower(F.trim(F.col("subject")))
+    subjects = sorted(r["s"] for r in areas.select(name.alias("s")).where("s IS NOT NULL AND s <> ''").distinct().limit(MAX_SUBJECTS + 1).collect())
+    if len(subjects) > MAX_SUBJECTS:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
-    schema = "doc_id bigint, subject string, n_sentences bigint, n_all bigint"
-    if not k:
-        return spark.createDataFrame([], schema)
-    edges = materialise(documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lambda it: map(cut, it), EDGES).where("size(sentences) > 0").withColumn("row", F.monotonically_increasing_id()), "edges")
-    counted = edges.mapInArrow(_counts, "node bigint, docs bigint").groupBy("node").agg(F.sum("docs").alias("docs"))
-    verified = counted.where(F.col("docs") >= MIN_DOCS)
-    top = verified.orderBy(F.col("docs").desc(), "node").limit(max_terms + 1).toPandas()  # one more tells whether there are rare ones
-    nodes = np.sort(top["node"].to_numpy(np.int64)[:max_terms])
-    rare = held = None
-    if len(top) > max_terms:
-        first = (int(top[c].iloc[max_terms]) for c in ("docs", "node"))
-        rare = materialise(verified.where("docs < {0} OR docs = {0} AND node >= {1}".format(*first)).select("node"), "rare")
-        held = materialise(edges.mapInArrow(_beyond(nodes), "row bigint, node bigint").join(rare, "node"), "held")
-    given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), name("subject").alias("s")).where("doc_id IS NOT NULL").withColumn("valid", F.coalesce(F.col("s").isin(subjects), F.lit(False)))
-    flags = [F.max(F.when(F.col("s") == s, 1.0).otherwise(0.0)) for s in subjects]
-    seeds = given.groupBy("doc_id").agg(F.array(*flags).alias("labels"), F.every("valid").alias("complete"), F.some("valid").alias("any")).where("any").drop("any")
-    if seeds.limit(max_seeds + 1).count() <= max_seeds:
-        seeds = F.broadcast(seeds)
-    linked = edges.join(seeds, "doc_id", "left")
-    columns = [f"s{j}" for j in range(k)]
-    sent_columns = [*columns, f"s{k}"]
-    sums_schema = "node bigint, rare boolean, " + ", ".join(f"{c} double" for c in sent_columns)
-    weight_columns = [*[f"w{j}" for j in range(k)], "seen"]
-
-    def with_rare(df: DataFrame, told: DataFrame | None) -> DataFrame:
-        """df with each document's rare nodes and what is told of them."""
-        if held is None:
-            return df
-        each = held.join(told, "node") if told is not None else held.withColumns({c: F.lit(0.0) for c in weight_columns})
-        return df.join(each.groupBy("row").agg(F.collect_list(F.struct("node", *weight_columns)).alias("rare")), "row", "left")
-
-    def gathered(sent: DataFrame) -> tuple[Model, DataFrame | None]:
-        summed = sent.groupBy("node", "rare").agg(*[F.sum(c).alias(c) for c in sent_columns])
-        summed = materialise(summed, "sums") if held is not None else summed
-        got = summed.where("NOT rare").toPandas()  # at most max_terms
-        sums, others = np.zeros((len(nodes), k + 1)), np.zeros((2, k + 1))
-        sums[np.searchsorted(nodes, got["node"].to_numpy(np.int64))] = got[sent_columns].to_numpy(float)
-        if held is None:
-            return Model(nodes, sums, others), None
-        of_rare = summed.where("rare").drop("rare")
-        for r in of_rare.groupBy(F.col("node").bitwiseAND(F.lit(1)).alias("odd")).agg(*[F.sum(c).alias(c) for c in sent_columns]).collect():  # two rows
-            others[r["odd"]] = [r[c] for c in sent_columns]
-        model = Model(nodes, sums, others)
-        every = rare.join(of_rare, "node", "left").select("node", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in sent_columns])
-        return model, materialise(every.mapInArrow(_told(model, k), "node bigint, " + ", ".join(f"{c} double" for c in weight_columns)), "told")
-
-    model, told = gathered(with_rare(edges.join(seeds, "doc_id"), None).mapInArrow(_pass_labels(nodes, None, k), sums_schema))
-    for _ in range(rounds - 1):
-        model, told = gathered(with_rare(linked, told).mapInArrow(_pass_labels(nodes, model, k), sums_schema))
-    hits = materialise(with_rare(linked, told).mapInArrow(_shares(model, k), "doc_id bigint, " + ", ".join(f"{c} bigint" for c in columns)), "hits")
-    total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("subject"), F.col(c).alias("n")) for s, c in zip(subjects, columns)])).alias("e")
-    return hits.select("doc_id", total.alias("n_all"), each).where("e.n > 0").select("doc_id", "e.subject", F.col("e.n").alias("n_sentences"), "n_all")
+    if not subjects:
+        return spark.createDataFrame([], RESULT)
+    since = written()
+    graph = _Graph(documents, labels, subjects, max_seeds, max_cells)
+    told = graph.labelled(graph.telling(graph.from_seeds()))
+    for _ in range(max_steps):
+        before, told = told, graph.labelled(graph.telling(graph.from_all(told)))
+        if graph.change(before, told) < tolerance:
+            break
+    else:
+        raise RuntimeError(f"labels have not settled after {max_steps} steps")
+    of = F.element_at(F.array(*[F.lit(s) for s in subjects]), F.col("best") + 1).alias("subject")
+    counted = told.groupBy("row", "doc_id", "best").agg(F.count(F.lit(1)).alias("n_sentences"))
+    rows = counted.select("doc_id", of, "n_sentences", F.sum("n_sentences").over(Window.partitionBy("row")).alias("n_all"))
+    done = materialise(rows, "subjects")
+    release(spark, since, keep=1)
+    return done
 
 
 def subject_areas(counted: DataFrame, share: float = SHARE) -> DataFrame:
