@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.operators.positions import RUN, global_positions
+from lexmill.session import materialise, partitions
 
 
 def compress(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -33,13 +34,33 @@ def key_distinct(compressed: DataFrame) -> DataFrame:
 def key_percentiles(compressed: DataFrame, fractions: list[float]) -> DataFrame:
     """(key, fraction, value): the least value with at least the fraction of the key's rows at or below it."""
     run = global_positions(compressed, ["key"], [F.col("value").asc()], weight="weight", label="percentiles")
-    totals = compressed.groupBy("key").agg(F.sum("weight").alias("total"))
-    at = run.join(totals, "key").withColumn("fraction", F.explode(F.array(*[F.lit(float(x)) for x in fractions])))
+    totals = materialise(run.groupBy("key").agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("held")), "totals")
+    at = join_held(run, totals, ["key"], "held").withColumn("fraction", F.explode(F.array(*[F.lit(float(x)) for x in fractions])))
     reached = F.greatest(F.ceil(F.col("fraction") * F.col("total")), F.lit(1))
     crosses = (F.col(RUN) >= reached) & (F.col(RUN) - F.col("weight") < reached)
     return at.where(crosses).select("key", "fraction", "value")
 
 
+def join_held(rows: DataFrame, per_key: DataFrame, keys: list[str], held: str) -> DataFrame:
+    """rows with the columns of per_key, which has one row for each key and in `held` the number of rows with it.
+
+    Keys with more than the P-th part of all rows are at most P, the number of shuffle partitions, so these are
+    broadcast and their rows stay where they are; the others are joined by hash, none of them larger than an even share.
+    Null keys are equal to each other. per_key is read twice and should be written before.
+    """
+    n = partitions(rows.sparkSession)
+    whole = per_key.agg((F.coalesce(F.sum(held), F.lit(0)) / n).alias("__even"))  # one row
+    rated = per_key.crossJoin(F.broadcast(whole))
+    hot, cold = (rated.where(f"{held} {c} __even").drop("__even").alias("k") for c in (">", "<="))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
+    more = [c for c in per_key.columns if c not in keys and c != held]
+    columns = [*[F.col(f"r.`{c}`") for c in rows.columns], *[F.col(f"k.{c}") for c in [*more, *([] if held in rows.columns else [held])]]]
+    few = F.broadcast(hot)
+    of_hot = rows.alias("r").join(few, same).select(*columns)
+    of_cold = rows.alias("r").join(F.broadcast(hot.select(*keys).alias("k")), same, "left_anti").alias("r").join(cold, same).select(*columns)
+    return of_hot.unionByName(of_cold)
+
+
 def wrong_doc_freq(term_docs: DataFrame, posting_dict: DataFrame) -> DataFrame:
     """Terms whose recorded doc_freq differs from the number of different documents that hold them.
 
