@@ -12,6 +12,9 @@ from lexmill.llm.tokens import VOCABULARY, with_tokens
 from lexmill.operators.positions import POS, RUN, global_positions
 from lexmill.session import materialise
 
+#: Tokens of a container.
+CAPACITY = 2048
+
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
     """Best fit by decreasing length over counts: (length, first rank, items a container, first container) for each
@@ -65,7 +68,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return slots, used
 
 
-def pack(documents: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, piece, n_tokens, container_id): one row for each text, or for each piece of a text above the capacity.
 
     A text above the capacity gives pieces of exactly the capacity, each a container of its own, and a last piece of
@@ -98,7 +101,7 @@ def pack(documents: DataFrame, capacity: int = 2048, vocabulary: str = VOCABULAR
     return rests.unionByName(wholes).unionByName(empty)
 
 
-def container_use(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+def container_use(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: containers, their tokens, and the share of their space that stays unused."""
     held = packed.where("container_id IS NOT NULL").agg(F.count_distinct("container_id").alias("containers"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens"))
     return held.withColumn("unused_share", F.when(F.col("containers") > 0, 1 - F.col("tokens") / (F.col("containers") * capacity)))

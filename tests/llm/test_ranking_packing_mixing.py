@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexmill.llm import mixing as M
 from lexmill.llm.one_ranking import SCORES, outranking, record_scores
 from lexmill.llm.packing import container_use, pack, plan
-from lexmill.llm.tokens import count_tokens
+from lexmill.llm.tokens import VOCABULARY, count_tokens, encoding
 
 
 def flows(items, scores, q, p):
@@ -119,7 +119,23 @@ def test_packing_of_nothing(spark):
     assert container_use(pack(df)).first().unused_share is None
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "\u3000", "\x1c", "\xa0", "a", "Zoë", "'s", "12", "--", "😀"]), max_size=30), st.integers(2, 5))
+def test_tokens_are_those_of_the_whole_text(parts, long_run):
+    text = "".join(parts)
+    assert count_tokens(text, long_run=long_run) == len(encoding(VOCABULARY).encode_ordinary(text)) if text else count_tokens(text) == 0
+
+
+@pytest.mark.parametrize("n", [2_001, 3_603, 20_000])
+def test_tokens_of_runs_are_not_cut(n):
+    rng = random.Random(n)
+    enc = encoding(VOCABULARY)
+    for text in ("".join(rng.choice("abcdefghij") for _ in range(n)), "https://x.example/" + "".join(rng.choice("ab/-_.0") for _ in range(n)), " " * n + "x", "\n" * n):
+        assert count_tokens(text) == len(enc.encode_ordinary(text))
+
+
 def test_tokens_of_long_runs():
+    assert count_tokens(" " * 2_000_000 + "x") > 1
     assert count_tokens("a" * 300_000) > 0
     assert count_tokens(" " * 300_000) > 0
     assert count_tokens("<|endoftext|>") > 1
@@ -139,7 +155,8 @@ def test_budgets_keep_the_limits_and_the_proportions(sources, total):
     aims = {str(i): a / sum(x for _, x, _ in sources) for i, (_, a, _) in enumerate(sources)}
     repeats = {str(i): r for i, (_, _, r) in enumerate(sources)}
     most = {s: tokens[s] * repeats[s] for s in tokens}
-    got = M.budgets(tokens, aims, repeats, total)
+    got, exponents = M.budgets(tokens, aims, repeats, total)
+    assert set(exponents) == set(got) and all(0 <= e <= 1 for e in exponents.values())
     assert all(b <= most[s] * (1 + 1e-9) + 1e-9 for s, b in got.items())
     assert sum(got.values()) == pytest.approx(min(total, sum(most.values())))
     free = [s for s in got if got[s] < most[s] * (1 - 1e-9)]
@@ -169,6 +186,39 @@ def test_mix_reaches_the_shares(spark):
     assert again == sorted(tuple(r) for r in rows)
 
 
+def test_the_exponent_sets_the_weights():
+    tokens, aims, repeats = {"a": 9000, "b": 900, "c": 100}, {"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 1, "b": 4, "c": 3}
+    got, at = M.budgets(tokens, aims, repeats, 5000)
+    assert got["c"] == 300 and 0 < at["c"] < 1 and at["a"] == 1.0  # c stops the exponent at its limit
+    assert got["b"] / got["a"] == pytest.approx(1.5)
+    for spread in (0.5, 0.8, 1.05):
+        got, at = M.budgets(tokens, aims, repeats, spread=spread)
+        w = {s: b / sum(got.values()) for s, b in got.items()}
+        assert M.entropy(w) == pytest.approx(spread, abs=1e-6)
+        assert all(got[s] <= tokens[s] * repeats[s] * (1 + 1e-9) for s in got)
+    # With a total, the repetition limit stops the exponent before the entropy does.
+    got, at = M.budgets(tokens, aims, repeats, total=6000, spread=1.09)
+    assert got["c"] == pytest.approx(300) and 0 < at["a"] < M.exponent_for_entropy({"a": 0.9, "b": 0.09, "c": 0.01}, 1.09)
+
+
+def test_another_entropy_gives_another_selection(spark):
+    docs = [(i, "big" if i % 10 else "small", "w " * (5 + i % 7)) for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3)], "source string, target_share double, max_repeats int")
+    taken = {}
+    for spread in (0.4, 0.69):
+        selection, shares = M.mix(df, targets, spread=spread)
+        rows = selection.collect()
+        taken[spread] = {(r.doc_id, r.block) for r in rows}
+        by = defaultdict(list)
+        for r in rows:
+            by[(r.source, r.block)].append(r.position)
+        assert all(sorted(p) == list(range(1, len(p) + 1)) for p in by.values())
+        got = {r.source: r.actual_share for r in shares.collect()}
+        assert M.entropy(got) == pytest.approx(spread, abs=0.02)
+    assert taken[0.4] != taken[0.69]
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")

@@ -56,10 +56,21 @@ def test_two_poisson_finds_the_records_a_term_is_about():
     rng = np.random.default_rng(8)
     counts = np.concatenate([rng.poisson(0.3, 900), rng.poisson(6, 100)])
     f, n = np.unique(counts[counts > 0], return_counts=True)
-    p = D.fit_two_poisson(np.append(f, [1]), np.append(n, [1]), np.array([0, len(f)]), 1000.0)
+    p, steps, done = D.fit_two_poisson(np.append(f, [1]), np.append(n, [1]), np.array([0, len(f)]), 1000.0)
     assert (np.diff(p[: len(f)]) > -1e-12).all()
     assert p[0] < 0.1 and p[: len(f)][f == 5] > 0.9
-    assert np.isfinite(p).all()
+    assert np.isfinite(p).all() and done.all() and (steps > 1).all()
+
+
+def test_wide_histograms_are_fitted_alike(spark):
+    rng = np.random.default_rng(3)
+    rows = [(r, t, int(rng.poisson(m)) + 1) for t, m in (("a", 2), ("b", 9), ("c", 0.1)) for r in range(60)]
+    df = spark.createDataFrame(rows, "rec_id long, term string, f long")
+    want, got = ({(r.term, r.f): r for r in D.fitted_terms(df, 100, widest).collect()} for widest in (100, 3))
+    assert want.keys() == got.keys() and len(want) > 10
+    for k, r in want.items():
+        assert (got[k].n, got[k].d, got[k].n_rec, got[k].steps, got[k].converged) == (r.n, r.d, r.n_rec, r.steps, r.converged)
+        assert abs(got[k].posterior - r.posterior) < 1e-9
 
 
 SCHEMA = "rec_id long, query string, url string, title string, header array<string>, body_hits map<string,array<int>>, body_length int, pagerank int, anchors map<string,int>"
