@@ -1,11 +1,14 @@
 """Spelling correction of queries: language model, character pairs, edit channel, candidates and their scores."""
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions.edits import edit_list, one_edit, osa
 from lexmill.functions.text import char_bigrams, lm_tokens, tokens
 from lexmill.session import materialise, partitions
+from lexmill.sources.files import read_model, write_model
 
 #: Letters of the channel and constants of the model (fixed values).
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789&$+_' "
@@ -147,13 +150,12 @@ def suspicions(seen: DataFrame) -> DataFrame:
     return seen.withColumn("flags", F.transform(unknown, lambda u, i: u | (F.element_at(pair, (i + 1).cast("int")) & ~beside(i))))
 
 
-def candidates(splits: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
-    """(alt, cand): for each text the known texts that replace up to two suspicious words, and its known neighbours.
+def replacements(seen: DataFrame, uni: DataFrame) -> DataFrame:
+    """(alt, cand): the texts of seen (looked_up with flags) with up to two suspicious words replaced by candidates.
 
     With more than two suspicious words every two of them are replaced; texts that keep an unknown word could not be
     scored and are left out at once.
     """
-    seen = materialise(suspicions(looked_up(splits, "alt", uni, bi)), "suspicions")
     flagged = F.filter(F.transform("flags", lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
     places = seen.select("alt", "w", flagged.alias("at"))
     slots = places.select(
@@ -164,14 +166,63 @@ def candidates(splits: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
         .alias("slots"),
     ).select("alt", "w", F.explode("slots").alias("s"))
     known = F.forall(F.transform("w", lambda x, p: x["uni"].isNotNull() | F.coalesce(p == F.col("s.i"), F.lit(False)) | F.coalesce(p == F.col("s.j"), F.lit(False))), lambda ok: ok)
-    open_ = slots.where(known).select("alt", "w", "s.i", "s.j", F.col("w")[F.coalesce("s.i", F.lit(0))]["word"].alias("wi"), F.col("w")[F.coalesce("s.j", F.lit(0))]["word"].alias("wj"))
+    words = F.transform("w", lambda x: x["word"])
+    open_ = slots.where(known).select("alt", words.alias("w"), "s.i", "s.j", F.col("w")[F.coalesce("s.i", F.lit(0))]["word"].alias("wi"), F.col("w")[F.coalesce("s.j", F.lit(0))]["word"].alias("wj"))
     asked = open_.where("i IS NOT NULL").select(F.col("wi").alias("word")).union(open_.where("j IS NOT NULL").select("wj"))
     near = materialise(word_candidates(asked, uni), "candidates")
     one = open_.where("i IS NULL").withColumn("ci", F.lit(None).cast("string")).unionByName(open_.where("i IS NOT NULL").join(near.select(F.col("word").alias("wi"), F.col("cand").alias("ci")), "wi"))
     two = one.where("j IS NULL").withColumn("cj", F.lit(None).cast("string")).unionByName(one.where("j IS NOT NULL").join(near.select(F.col("word").alias("wj"), F.col("cand").alias("cj")), "wj"))
-    text = F.array_join(F.transform("w", lambda x, p: F.when(F.coalesce(p == F.col("i"), F.lit(False)), F.col("ci")).when(F.coalesce(p == F.col("j"), F.lit(False)), F.col("cj")).otherwise(x["word"])), " ")
-    close = neighbours(splits.select(F.col("alt").alias("query")).distinct(), uni).select(F.col("query").alias("alt"), F.array_join(tokens(F.col("near")), " ").alias("cand"))
-    return two.select("alt", text.alias("cand")).unionByName(close.where("cand <> ''")).distinct()
+    text = F.array_join(F.transform("w", lambda x, p: F.when(F.coalesce(p == F.col("i"), F.lit(False)), F.col("ci")).when(F.coalesce(p == F.col("j"), F.lit(False)), F.col("cj")).otherwise(x)), " ")
+    return two.select("alt", text.alias("cand"))
+
+
+def _close(alts: DataFrame, uni: DataFrame) -> DataFrame:
+    """alts with `cand`: each text's one-edit neighbours, blanks made single."""
+    near = alts.crossJoin(F.broadcast(_letters(uni))).select(*alts.columns, F.explode(F.array_distinct(one_edit(F.col("alt"), F.col("letters")))).alias("near"))
+    return near.select(*alts.columns, F.array_join(tokens(F.col("near")), " ").alias("cand")).where("cand <> ''")
+
+
+def candidates(splits: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
+    """(alt, cand): for each text its replacements and its neighbours, known or not."""
+    seen = materialise(suspicions(looked_up(splits, "alt", uni, bi)), "suspicions")
+    return replacements(seen, uni).unionByName(_close(seen.select("alt"), uni)).distinct()
+
+
+def _pair_keys(words: Column) -> Column:
+    """Neighbouring words with a blank between; words have none, so no two pairs look alike."""
+    return F.when(F.size(words) > 1, F.transform(F.slice(words, F.lit(1), F.size(words) - 1), lambda x, i: F.concat_ws(" ", x, F.element_at(words, (i + 2).cast("int"))))).otherwise(F.array().cast("array<string>"))
+
+
+def known_candidates(seen: DataFrame, model: "Model") -> DataFrame:
+    """(alt, cand, w): the candidates of seen whose words are all known, with the counts of words and pairs.
+
+    A candidate differs from its text in a word or two. What they share is taken from the text's own counts; only new
+    words are looked up, and for candidates that pass, new pairs. So a frequent word is no key of a join.
+    """
+    words, had = F.transform("w", lambda x: x["word"]), F.filter("w", lambda x: x["uni"].isNotNull())
+    texts = seen.select("alt", "w", F.transform(had, lambda x: x["word"]).alias("had"), _pair_keys(words).alias("pairs"))
+    differing = lambda df: df.withColumn("t", F.split("cand", " ", -1)).select("alt", "cand", F.array_except("t", "had").alias("new"))
+    replaced = replacements(seen, model.unigrams).distinct().join(texts.select("alt", "had"), "alt")
+    lost = F.transform(F.filter("w", lambda x: x["uni"].isNull()), lambda x: x["word"])
+    close = differing(_close(seen.select("alt", F.transform(had, lambda x: x["word"]).alias("had"), lost.alias("lost")), model.unigrams).where(~F.arrays_overlap(F.split("cand", " ", -1), "lost")))
+    every = materialise(differing(replaced).unionByName(close).dropDuplicates(["alt", "cand"]), "different")
+    n = F.size("new")
+    found = every.where(n > 0).select("alt", "cand", n.alias("n"), F.explode("new").alias("term")).join(model.unigrams.select("term", F.col("cnt")), "term")
+    new_words = found.groupBy("alt", "cand", "n").agg(F.map_from_entries(F.collect_list(F.struct("term", "cnt"))).alias("words")).where(F.size("words") == F.col("n"))
+    none = F.create_map().cast("map<string,bigint>")
+    passed = new_words.select("alt", "cand", "words").unionByName(every.where(n == 0).select("alt", "cand", none.alias("words")))
+    ahead = materialise(passed.join(texts, "alt").withColumn("t", F.split("cand", " ", -1)).withColumn("fresh", F.array_except(_pair_keys(F.col("t")), "pairs")).drop("had", "pairs"), "known")
+    parts = F.split("pair", " ", -1)
+    pairs = ahead.select("alt", "cand", F.explode("fresh").alias("pair")).select("alt", "cand", "pair", parts[0].alias("w1"), parts[1].alias("w2"))
+    counted = pairs.join(model.bigrams, ["w1", "w2"]).groupBy("alt", "cand").agg(F.map_from_entries(F.collect_list(F.struct("pair", "cnt"))).alias("fresh_counts"))
+    both = ahead.join(counted, ["alt", "cand"], "left")
+    own = lambda of: F.map_from_entries(F.array_distinct(of))
+    had_words = own(F.transform(had, lambda x: F.struct(x["word"], x["uni"])))
+    had_pairs = own(F.transform(F.filter("w", lambda x: x["bi"].isNotNull()), lambda x: F.struct(F.concat_ws(" ", x["word"], F.element_at("w", (x["pos"] + 2).cast("int"))["word"]), x["bi"])))
+    looked = both.select("alt", "cand", "t", had_words.alias("hw"), had_pairs.alias("hp"), "words", F.coalesce("fresh_counts", none).alias("fp"), _pair_keys(F.col("t")).alias("keys"))
+    pair = lambda i: F.try_element_at("keys", (i + 1).cast("int"))
+    count = lambda x, i: F.struct(i.alias("pos"), x.alias("word"), F.coalesce(F.try_element_at("hw", x), F.try_element_at("words", x)).alias("uni"), F.coalesce(F.try_element_at("hp", pair(i)), F.try_element_at("fp", pair(i))).alias("bi"))
+    return looked.select("alt", "cand", F.transform("t", count).alias("w"))
 
 
 def uniform_channel(cand: Column, alt: Column) -> Column:
@@ -229,21 +280,47 @@ def model_scores(rows: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
     return seen.where(F.forall("w", lambda x: x["uni"].isNotNull())).select("cand", log_probability(F.col("w"), F.col("total")).alias("model"))
 
 
-def correct(queries: DataFrame, line_rows: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+@dataclass
+class Model:
+    """Counts of words (term, cnt) and of neighbouring words (w1, w2, cnt)."""
+
+    unigrams: DataFrame
+    bigrams: DataFrame
+
+
+def build(line_rows: DataFrame) -> Model:
+    """The model of all lines, written to the shared folder."""
+    return Model(materialise(unigrams(line_rows), "unigrams"), materialise(bigrams(line_rows), "bigrams"))
+
+
+def write(path: str, model: Model) -> None:
+    write_model(path, unigrams=model.unigrams, bigrams=model.bigrams)
+
+
+def read(spark: SparkSession, path: str) -> Model:
+    return Model(**read_model(spark, path, "unigrams", "bigrams"))
+
+
+def scored_candidates(alts: DataFrame, model: Model, pairs: DataFrame | None = None) -> DataFrame:
+    """(alt, cand, model, channel): the known candidates of texts with their ln probabilities. The channel is learned
+    from pairs, or uniform without them."""
+    seen = materialise(suspicions(looked_up(alts, "alt", model.unigrams, model.bigrams)), "suspicions")
+    known = known_candidates(seen, model).crossJoin(F.broadcast(total(model.unigrams)))
+    scored = materialise(known.select("alt", "cand", log_probability(F.col("w"), F.col("total")).alias("model")), "scored")
+    if pairs is None:
+        return scored.withColumn("channel", uniform_channel(F.col("cand"), F.col("alt")))
+    return scored.join(learned_channel(scored, pairs), ["alt", "cand"])
+
+
+def correct(queries: DataFrame, model: Model | DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(query, corrected): the candidate with the highest sum of model and channel, the first by text among equals; the
-    query where there is none. The channel is learned from pairs, or uniform without them."""
-    uni, bi = materialise(unigrams(line_rows), "unigrams"), materialise(bigrams(line_rows), "bigrams")
+    query where there is none. The model is a stored one, or built from lines."""
+    model = model if isinstance(model, Model) else build(model)
     asked = queries.select("query").where("query IS NOT NULL AND trim(query) <> ''").distinct()
-    splits = materialise(best_splits(asked, uni, bi), "splits")
-    all_ = candidates(splits.select("alt").distinct(), uni, bi)
-    scored = materialise(all_.join(model_scores(all_, uni, bi), "cand"), "scored")
-    if pairs is None:
-        typed = scored.select("alt", "cand", uniform_channel(F.col("cand"), F.col("alt")).alias("channel"))
-    else:
-        typed = learned_channel(scored, pairs)
-    final = scored.join(typed, ["alt", "cand"]).withColumn("score", F.round(F.col("model") + F.col("channel"), 9))
-    top = final.groupBy("alt").agg(F.max("score").alias("score"))
-    best = final.join(top, ["alt", "score"]).groupBy("alt").agg(F.min("cand").alias("best"))
+    splits = materialise(best_splits(asked, model.unigrams, model.bigrams), "splits")
+    scored = scored_candidates(splits.select("alt").distinct(), model, pairs)
+    rated = F.struct((-F.round(F.col("model") + F.col("channel"), 9)).alias("score"), "cand")
+    best = scored.groupBy("alt").agg(F.min(rated)["cand"].alias("best"))
     chosen = splits.join(best, "alt", "left").select("query", "best")
     return queries.select("query").distinct().join(chosen, "query", "left").select("query", F.coalesce(F.nullif("best", F.lit("")), "query").alias("corrected"))
 
