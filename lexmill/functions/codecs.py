@@ -10,10 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def _bind(value: Column, body) -> Column:
-    """body(value) with the value computed once, also where inner lambdas read it for every element."""
-    return F.transform(F.array(value), body)[0]
+from lexmill.functions.text import bind
 
 
 def gaps(ids: Column) -> Column:
@@ -52,39 +49,86 @@ def pack_bits(bits: Column) -> Column:
     def filled(b: Column) -> Column:
         return F.rpad(b, (F.ceil(F.length(b) / 8) * 8).cast("int"), F.lit("1"))
 
-    return _bind(_bind(bits, filled), lambda full: F.unhex(F.when(F.length(full) > 0, packed(full)).otherwise(F.lit(""))))
+    return bind(bind(bits, filled), lambda full: F.unhex(F.when(F.length(full) > 0, packed(full)).otherwise(F.lit(""))))
 
 
 def gamma_encode(ids: Column) -> Column:
     return pack_bits(gamma_bits(ids))
 
 
-def vb_numbers(code: bytes) -> np.ndarray:
-    b = np.frombuffer(code, np.uint8).astype(np.int64)
-    ends = np.flatnonzero(b & 128)
-    if not len(ends):
-        return np.array([], np.int64)
-    starts = np.append(0, ends[:-1] + 1)
-    of = np.repeat(ends, ends - starts + 1)
-    return np.add.reduceat((b[: len(of)] & 127) << (7 * (of - np.arange(len(of)))), starts)
+def _sums(numbers: np.ndarray, of: np.ndarray, n: int) -> list[np.ndarray]:
+    """Running sums of the numbers within each of n rows, to which they belong in order."""
+    total = np.cumsum(numbers)
+    ends = np.cumsum(np.bincount(of, minlength=n))
+    before = np.append(0, total)[np.append(0, ends[:-1])]
+    return np.split(total - np.repeat(before, np.diff(np.append(0, ends))), ends[:-1])
 
 
-def gamma_numbers(code: bytes) -> np.ndarray:
-    """Gaps; filling at the end is an unfinished code and ignored."""
-    bits = "".join(f"{x:08b}" for x in code)
-    out, at = [], 0
-    while (zero := bits.find("0", at)) >= 0 and 2 * zero - at < len(bits):
-        n = zero - at
-        out.append((1 << n) + (int(bits[zero + 1 : zero + 1 + n], 2) if n else 0) - 1)
-        at = zero + 1 + n
-    return np.array(out, np.int64)
+def vb_numbers(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all codes and the code each is in, from one buffer. What follows a code's last whole number is ignored."""
+    b = np.frombuffer(b"".join(codes), np.uint8).astype(np.int64)
+    begins = np.cumsum([0, *[len(c) for c in codes]])
+    ends = np.flatnonzero(b & 128)
+    if not len(ends):
+        return np.array([], np.int64), np.array([], np.int64)
+    of = np.searchsorted(begins, ends, side="right") - 1
+    starts = np.maximum(np.append(0, ends[:-1] + 1), begins[of])
+    size = ends - starts + 1
+    at = np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return np.add.reduceat((b[at] & 127) << (7 * (np.repeat(ends, size) - at)), np.cumsum(size) - size), of
+
+
+def gamma_numbers(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for gamma codes; filling at the end is an unfinished code and ignored.
+
+    Where a code begins depends on the one before, so the end of the code that would begin at every bit is found
+    first, and the codes reached from the beginnings are marked by following twice as many ends at once each time.
+    """
+    bits = np.unpackbits(np.frombuffer(b"".join(codes), np.uint8))
+    n = len(bits)
+    begins = 8 * np.cumsum([0, *[len(c) for c in codes]])
+    if not n:
+        return np.array([], np.int64), np.array([], np.int64)
+    zero = np.minimum.accumulate(np.where(bits == 0, np.arange(n), n)[::-1])[::-1]
+    ends_of = np.repeat(begins[1:], np.diff(begins))
+    follows = 2 * zero - np.arange(n) + 1
+    whole = (zero < n) & (follows <= ends_of)
+    jump = np.append(np.where(whole & (follows < ends_of), follows, n), n)  # n stands for the end
+    reached = np.zeros(n + 1, bool)
+    reached[begins[:-1][np.diff(begins) > 0]] = True
+    while True:
+        more = reached.copy()
+        more[jump[np.flatnonzero(reached)]] = True
+        if (more == reached).all():
+            break
+        reached, jump = more, jump[jump]
+    at = np.flatnonzero(reached[:n] & whole)
+    size = zero[at] - at
+    first = np.cumsum(size) - size
+    place = np.repeat(zero[at] + 1 - first, size) + np.arange(size.sum())
+    low = np.bincount(np.repeat(np.arange(len(at)), size), weights=bits[place] * 2.0 ** (np.repeat(size, size) - 1 - (np.arange(size.sum()) - np.repeat(first, size))), minlength=len(at)).astype(np.int64) if size.sum() else np.zeros(len(at), np.int64)
+    return (np.int64(1) << size) + low - 1, np.searchsorted(begins, at, side="right") - 1
+
+
+def _decoded(codes: pd.Series, numbers, most: int = 1 << 18) -> pd.Series:
+    """Ids of all codes, several rows of about `most` bytes together at a time; null for null."""
+    ok = np.flatnonzero(codes.notna().to_numpy())
+    held = [codes.iloc[i] for i in ok]
+    part = np.cumsum([len(c) for c in held], dtype=np.int64) // most if held else np.array([], np.int64)
+    out: list = [None] * len(codes)
+    for p in np.unique(part):
+        rows = np.flatnonzero(part == p)
+        values, of = numbers([held[r] for r in rows])
+        for r, ids in zip(rows, _sums(values, of, len(rows))):
+            out[ok[r]] = ids
+    return pd.Series(out, index=codes.index)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def vb_decode(codes: pd.Series) -> pd.Series:
-    return codes.map(lambda x: None if x is None else np.cumsum(vb_numbers(x)))
+    return _decoded(codes, vb_numbers)
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def gamma_decode(codes: pd.Series) -> pd.Series:
-    return codes.map(lambda x: None if x is None else np.cumsum(gamma_numbers(x)))
+    return _decoded(codes, gamma_numbers)

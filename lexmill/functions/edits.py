@@ -67,25 +67,28 @@ def distances(first: list[str], second: list[str]) -> np.ndarray:
     return out
 
 
-def edits_of(table: np.ndarray, a: str, b: str) -> list[dict]:
-    """The edits that turn a into b, last first; where several fit: substitution, insertion, deletion, swap."""
-    i, j, out = len(a), len(b), []
-    while i and j:
-        here, same = table[i, j], a[i - 1] == b[j - 1]
-        if same and here == table[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-        elif not same and here == table[i - 1, j - 1] + 1:
-            out.append({"op": SUB, "a": a[i - 1], "b": b[j - 1]})
-            i, j = i - 1, j - 1
-        elif here == table[i, j - 1] + 1:
-            out.append({"op": INS, "a": a[i - 1], "b": b[j - 1]})
-            j -= 1
-        elif i > 1 and here == table[i - 1, j] + 1:
-            out.append({"op": DEL, "a": a[i - 2], "b": a[i - 1]})
-            i -= 1
-        else:
-            out.append({"op": SWAP, "a": a[i - 2], "b": a[i - 1]})
-            i, j = i - 2, j - 2
+def edits_of(table: np.ndarray, first: list[str], second: list[str]) -> list[list[dict]]:
+    """The edits that turn each first text into its second, last first; where several fit: substitution, insertion,
+    deletion, swap. All pairs of a table walk back together, a step at a time."""
+    a, n = _codes(first)
+    b, m = _codes(second)
+    i, j, k = n.copy(), m.copy(), np.arange(len(first))
+    out: list[list[dict]] = [[] for _ in first]
+    while len(k := k[(i[k] > 0) & (j[k] > 0)]):
+        x, y = i[k], j[k]
+        here, cross, same = table[x, y, k], table[x - 1, y - 1, k], a[k, x - 1] == b[k, y - 1]
+        kept = same & (here == cross)
+        sub = ~same & (here == cross + 1)
+        ins = ~kept & ~sub & (here == table[x, y - 1, k] + 1)
+        gone = ~kept & ~sub & ~ins & (x > 1) & (here == table[x - 1, y, k] + 1)
+        swap = ~(kept | sub | ins | gone)
+        op = np.select([sub, ins, gone, swap], [SUB, INS, DEL, SWAP], -1)
+        for at in np.flatnonzero(op >= 0):
+            p, q, o = k[at], x[at], int(op[at])
+            left, right = (first[p][q - 1], second[p][y[at] - 1]) if o in (SUB, INS) else (first[p][q - 2], first[p][q - 1])
+            out[p].append({"op": o, "a": left, "b": right})
+        i[k] = x - np.where(ins, 0, np.where(swap, 2, 1))
+        j[k] = y - np.where(gone, 0, np.where(swap, 2, 1))
     return out
 
 
@@ -106,8 +109,8 @@ def edit_list(right: pd.Series, typed: pd.Series) -> pd.Series:
     out: list = [None] * len(right)
     for ids in _chunks(a, b):
         d = tables([a[i] for i in ids], [b[i] for i in ids])
-        for k, i in enumerate(ids):
-            out[ok[i]] = edits_of(d[:, :, k], a[i], b[i])
+        for i, edits in zip(ids, edits_of(d, [a[i] for i in ids], [b[i] for i in ids])):
+            out[ok[i]] = edits
     return pd.Series(out, index=right.index)
 
 

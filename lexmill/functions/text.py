@@ -9,6 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with the value computed once, also where inner lambdas read it for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
     """Runs of characters other than white space, case kept; no tokens for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import tokens
 from lexmill.operators.positions import POS, global_positions
+from lexmill.session import materialise
 
 SEGMENT = 16_384
 NO_RESULT = "no results found"
@@ -61,9 +62,9 @@ def merge_blocks(by_block: DataFrame) -> DataFrame:
     return merged.select("term_id", "segment", "cf", F.size("doc_ids").cast("bigint").alias("df"), "doc_ids")
 
 
-def directory(occ: DataFrame) -> DataFrame:
-    """(term_id, cf, df) of every term."""
-    return pairs(occ).groupBy("term_id").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"))
+def directory(posts: DataFrame) -> DataFrame:
+    """(term_id, cf, df) of every term of postings."""
+    return posts.groupBy("term_id").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"))
 
 
 def query_words(queries: DataFrame, words: DataFrame) -> DataFrame:
@@ -80,15 +81,17 @@ def rarest_words(looked_up: DataFrame, terms: DataFrame) -> DataFrame:
     return grouped.select("query", F.when(F.col("missing") == 0, F.col("least")).alias("term_id"), "n_terms", "missing")
 
 
-def boolean_and(queries: DataFrame, words: DataFrame, occ: DataFrame) -> DataFrame:
+def boolean_and(queries: DataFrame, words: DataFrame, posts: DataFrame) -> DataFrame:
     """(query, doc_id) of the documents that hold every word of a query; none if a word is unknown.
 
-    Candidates are the documents of the rarest word, so a frequent word costs one lookup for each of them by (word,
-    document), which spreads evenly, and its own postings are never listed.
+    posts are postings, as read from a stored index: only those of the queries' words are read further. Candidates are
+    the documents of the rarest word, so a frequent word costs one lookup for each of them by (word, document), which
+    spreads evenly.
     """
-    looked_up = query_words(queries, words)
-    first = rarest_words(looked_up, directory(occ)).where("missing = 0")
-    held = pairs(occ).select("term_id", "doc_id")
+    looked_up = materialise(query_words(queries, words), "words")
+    needed = materialise(posts.join(looked_up.select("term_id").distinct(), "term_id", "left_semi").select("term_id", "cf", "df", "doc_ids"), "needed")
+    first = rarest_words(looked_up, directory(needed)).where("missing = 0")
+    held = needed.select("term_id", F.explode("doc_ids").alias("doc_id"))
     candidates = first.join(held, "term_id").select("query", F.col("term_id").alias("first_id"), "doc_id", "n_terms")
     others = candidates.join(looked_up.select("query", "term_id"), "query").where("term_id <> first_id")
     met = others.join(held, ["term_id", "doc_id"]).groupBy("query", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("n"))
@@ -96,8 +99,14 @@ def boolean_and(queries: DataFrame, words: DataFrame, occ: DataFrame) -> DataFra
     return several.unionByName(candidates.where("n_terms = 1").select("query", "doc_id"))
 
 
-def boolean_answers(queries: DataFrame, words: DataFrame, occ: DataFrame, doc_dict: DataFrame) -> DataFrame:
+def boolean_answers(queries: DataFrame, words: DataFrame, posts: DataFrame, doc_dict: DataFrame) -> DataFrame:
     """(query, doc_name): names of the found documents, or one row saying that there is none."""
-    found = boolean_and(queries, words, occ).join(doc_dict.select("doc_id", "doc_name"), "doc_id").select("query", "doc_name")
+    found = boolean_and(queries, words, posts).join(doc_dict.select("doc_id", "doc_name"), "doc_id").select("query", "doc_name")
     asked = queries.select("query").where("query IS NOT NULL").distinct()
     return asked.join(found, "query", "left").select("query", F.coalesce("doc_name", F.lit(NO_RESULT)).alias("doc_name"))
+
+
+def ordered_answers(answers: DataFrame) -> DataFrame:
+    """(query, place, doc_name): the names of each query in order, places from 1."""
+    numbered = global_positions(answers, ["query"], [F.col("doc_name").asc()], label="answers")
+    return numbered.select("query", F.col(POS).alias("place"), "doc_name")

@@ -13,7 +13,7 @@ from lexmill.functions.text import query_terms, url_length
 from lexmill.functions.windows import boost_by_excess
 from lexmill.operators.positions import POS, global_positions
 from lexmill.operators.ranking import FIELDS, bm25f_score, field_lengths, field_scores, length_averages, ranked, with_query, with_windows
-from lexmill.session import materialise
+from lexmill.session import materialise, shared_path
 
 FIVE = [f"x_{f}" for f in FIELDS]
 TWELVE = [*FIVE, "x_bm25f", "x_window", "x_pagerank", "x_url_length", "x_has_header", "x_has_anchors", "x_www"]
@@ -143,27 +143,48 @@ def ordinal_step(w: np.ndarray, b: np.ndarray, x: np.ndarray, y: int) -> tuple[n
     return w + move.sum() * x, b
 
 
+def _pass(w: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, look: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Examples in order. Those that the model has right change nothing, so it looks for the next wrong one among several."""
+    at = 0
+    while at < len(xs):
+        s = xs[at : at + look] @ w
+        wrong = np.flatnonzero((s[:, None] < b).argmax(1) != ys[at : at + look])
+        if len(wrong):
+            at += int(wrong[0])
+            w, b = ordinal_step(w, b, xs[at], int(ys[at]))
+            at += 1
+        else:
+            at += look
+    return w, b
+
+
 def ordinal_perceptron(rows: DataFrame, relevance: DataFrame, columns: list[str], epochs: int = EPOCHS) -> Ordinal:
-    """Trains in the order of query and url. Each update depends on all before it, so an epoch is one task that streams
-    over the sorted rows and keeps the model only."""
+    """Trains in the order of query and url. Each update depends on all before it, so training is one task; it streams
+    over the rows, which are sorted and written by many, once for each epoch, and keeps the model only."""
+    spark = rows.sparkSession
     levels = ordinal_labels(relevance)
     k = levels.count()
     y = rows.join(F.broadcast(levels), "rel") if k <= 10_000 else rows.join(levels, "rel")
-    ordered = materialise(y.select("query", "url", "level", *columns).repartitionByRange("query", "url").sortWithinPartitions("query", "url").select("query", "url", "level", *columns), "ordered")
-    w, b = np.zeros(len(columns)), np.append(np.zeros(max(k - 1, 0)), np.inf)
-    ordered = ordered.repartitionByRange(1, "query", "url").sortWithinPartitions("query", "url")
-    for _ in range(epochs):
-
-        def epoch(batches, w=w, b=b):
-            for p in batches:
-                xs, ys = p[columns].to_numpy(float), p["level"].to_numpy(int)
-                for x, level in zip(xs, ys):
-                    w, b = ordinal_step(w, b, x, level)
+    path = shared_path(spark, "ordered")
+    # Files are numbered in the order of the sort.
+    y.select("query", "url", "level", *columns).repartitionByRange("query", "url").sortWithinPartitions("query", "url").select("level", *columns).write.parquet(path)
+
+    def train_all(batches):
+        from pyarrow import dataset, fs
+
+        for _ in batches:
+            system, at = fs.FileSystem.from_uri(path)
+            files = sorted(f.path for f in system.get_file_info(fs.FileSelector(at)) if f.is_file and f.base_name.endswith(".parquet"))
+            w, b = np.zeros(len(columns)), np.append(np.zeros(max(k - 1, 0)), np.inf)
+            for _ in range(epochs):
+                for file in files:
+                    for p in dataset.dataset(file, filesystem=system, format="parquet").to_batches():
+                        xs = np.stack([p.column(c).to_numpy(zero_copy_only=False) for c in columns], 1).astype(float)
+                        w, b = _pass(w, b, xs, p.column("level").to_numpy())
             yield pd.DataFrame({"w": [w.tolist()], "b": [b.tolist()]})
 
-        got = ordered.mapInPandas(epoch, "w array<double>, b array<double>").first()
-        w, b = np.array(got["w"]), np.array(got["b"])
-    return Ordinal(columns, w, b)
+    got = spark.range(1, numPartitions=1).mapInPandas(train_all, "w array<double>, b array<double>").first()
+    return Ordinal(columns, np.array(got["w"]), np.array(got["b"]))
 
 
 TASKS = {1: "least squares", 2: "pairwise SVM", 3: "pairwise SVM on twelve features", 4: "ordinal perceptron"}

@@ -3,9 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.functions.text import sublinear, substring_count, tokens, url_length, url_words
+from lexmill.functions.text import bind, sublinear, substring_count, tokens, url_length, url_words
 from lexmill.functions.windows import boost_by_excess, boost_by_ratio, hits, least_window, smallest_window, window_count
 from lexmill.operators.positions import POS, global_positions
+from lexmill.operators.skewed_keys import join_held
+from lexmill.session import materialise
 
 FIELDS = ["url", "title", "body", "header", "anchor"]
 #: Weights and constants of the rankers (fixed values).
@@ -14,6 +16,8 @@ BM25F = {"url": 0.4, "title": 0.2, "body": 0.05, "header": 0.05, "anchor": 0.3}
 BM25F_B = {"url": 0.6, "title": 0.8, "body": 0.8, "header": 0.8, "anchor": 0.6}
 WINDOWS = {"url": 0.2, "title": 0.2, "body": 0.05, "header": 0.05, "anchor": 0.5}
 K1, LAMBDA, LENGTH_SMOOTH = 1.2, 1.0, 500
+#: Terms of queries that are broadcast to the documents at most.
+MAX_TERMS = 100_000
 
 
 def records(features: DataFrame) -> DataFrame:
@@ -83,23 +87,35 @@ def idf_table(documents: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n)).select("term", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
-def unseen_idf(documents: DataFrame) -> DataFrame:
-    """One row: ln N, the idf of a term no document has."""
-    return documents.where("text IS NOT NULL").agg(F.log(F.count(F.lit(1))).alias("unseen"))
+def term_idf(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, idf) of the given different terms only, ln N for those that no document has. One pass over the documents:
+    a token "" stands for the document itself, so its count is N. Tokens of other terms are dropped before they are
+    counted where the terms are few enough to be broadcast, else after counting."""
+    asked = materialise(terms.select("term"), "asked")
+    wanted = asked.unionByName(documents.sparkSession.createDataFrame([("",)], "term string"))
+    each = documents.where("text IS NOT NULL").select(F.explode(F.concat(F.array_distinct(tokens(F.lower("text"))), F.array(F.lit("")))).alias("term"))
+    if asked.limit(MAX_TERMS + 1).count() <= MAX_TERMS:
+        each = each.join(F.broadcast(wanted), "term", "left_semi")
+    counted = each.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(wanted, "term", "left_semi")
+    counted = materialise(counted, "df")
+    n = counted.where("term = ''").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"))  # one row
+    return asked.join(counted, "term", "left").crossJoin(F.broadcast(n)).select("term", F.log(F.col("n") / F.coalesce("df", F.lit(1))).alias("idf"))
 
 
 def query_vectors(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query, terms): for each query its different lower-cased terms in order, each with weight (1 + ln tf) * idf."""
-    at = rows.select("query").distinct().select("query", F.posexplode(tokens(F.lower("query"))).alias("pos", "term"))
+    """(query, held, terms): for each query its different lower-cased terms in order, each with weight (1 + ln tf) * idf,
+    and how many of the rows it has."""
+    queries = materialise(rows.groupBy("query").agg(F.count(F.lit(1)).alias("held")), "queries")
+    at = queries.select("query", F.posexplode(tokens(F.lower("query"))).alias("pos", "term"))
     counted = at.groupBy("query", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
-    idf = F.coalesce("idf", "unseen")
-    weighted = counted.join(idf_table(documents), "term", "left").crossJoin(F.broadcast(unseen_idf(documents)))
-    each = F.struct("pos", "term", (sublinear(F.col("tf")) * idf).alias("weight"), idf.alias("idf"))
-    return weighted.groupBy("query").agg(F.array_sort(F.collect_list(each)).alias("terms"))
+    weighted = counted.join(term_idf(documents, at.select("term").distinct()), "term")
+    each = F.struct("pos", "term", (sublinear(F.col("tf")) * F.col("idf")).alias("weight"), "idf")
+    return weighted.groupBy("query").agg(F.array_sort(F.collect_list(each)).alias("terms")).join(queries, "query").select("query", "held", "terms")
 
 
 def with_query(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    return rows.join(query_vectors(rows, documents), "query")
+    """rows with the terms of their query. Records are wide and few queries have most, so these stay where they are."""
+    return join_held(rows, materialise(query_vectors(rows, documents), "vectors"), ["query"], "held").drop("held")
 
 
 def _over_terms(value) -> Column:
@@ -146,7 +162,7 @@ def bm25f_score(averages_joined: DataFrame) -> Column:
         parts = {f: F.lit(BM25F[f]) * F.coalesce(F.try_divide(tf[f].cast("double"), norm[f]), F.lit(0.0)) for f in FIELDS}
         return _total({f: F.when(present[f], x).otherwise(0.0) if f in present else x for f, x in parts.items()})
 
-    matched = _over_terms(lambda t: weight(t) / (K1 + weight(t)) * t["idf"])
+    matched = _over_terms(lambda t: bind(weight(t), lambda w: w / (K1 + w)) * t["idf"])
     return matched + F.when(F.col("pagerank") > 0, LAMBDA * F.log(F.col("pagerank"))).otherwise(0.0)
 
 

@@ -9,7 +9,7 @@ from lexmill.functions import codecs as C
 from lexmill.operators import index as I  # noqa: E741
 from lexmill.plans.problems import table
 from lexmill.session import materialise, shared_path
-from lexmill.sources.files import read_index, write_index
+from lexmill.sources.files import read_directory, read_index, write_index
 
 
 def _docs(spark, sf):
@@ -69,7 +69,7 @@ def idx_merged_postings(spark, sf):
 
 
 def idx_directory(spark, sf):
-    return I.directory(_occ(spark, sf))
+    return I.directory(I.postings(_occ(spark, sf)))
 
 
 def idx_gaps(spark, sf):
@@ -108,15 +108,32 @@ def idx_query_words(spark, sf):
 
 
 def idx_rarest_word(spark, sf):
-    return I.rarest_words(I.query_words(_queries(spark, sf), table(spark, sf, "word_dict")), I.directory(_occ(spark, sf)))
+    return I.rarest_words(I.query_words(_queries(spark, sf), table(spark, sf, "word_dict")), I.directory(I.postings(_occ(spark, sf))))
 
 
 def idx_boolean_and(spark, sf):
-    return I.boolean_and(_queries(spark, sf), table(spark, sf, "word_dict"), _occ(spark, sf))
+    return I.boolean_and(_queries(spark, sf), table(spark, sf, "word_dict"), I.postings(_occ(spark, sf)))
 
 
 def idx_boolean_answers(spark, sf):
-    return I.boolean_answers(_queries(spark, sf), table(spark, sf, "word_dict"), _occ(spark, sf), table(spark, sf, "doc_dict"))
+    return I.boolean_answers(_queries(spark, sf), table(spark, sf, "word_dict"), I.postings(_occ(spark, sf)), table(spark, sf, "doc_dict"))
+
+
+def idx_ordered_answers(spark, sf):
+    """The answers in order, from an index that was written and read."""
+    path = shared_path(spark, "index")
+    words = table(spark, sf, "word_dict").select(F.col("word_id").alias("term_id"), "term")
+    write_index(path, table(spark, sf, "doc_dict"), words, I.postings(_occ(spark, sf)))
+    docs, terms, posts = read_index(spark, path)
+    return I.ordered_answers(I.boolean_answers(_queries(spark, sf), terms.withColumnRenamed("term_id", "word_id"), posts, docs))
+
+
+def idx_written_directory(spark, sf):
+    """The directory of terms after writing and reading it."""
+    path = shared_path(spark, "index")
+    words = table(spark, sf, "word_dict").select(F.col("word_id").alias("term_id"), "term")
+    write_index(path, table(spark, sf, "doc_dict"), words, I.postings(_occ(spark, sf)))
+    return read_directory(spark, path)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -124,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         idx_corpus, idx_count_files, idx_doc_dict, idx_doc_dict_from_one, idx_tokens, idx_term_dict, idx_postings, idx_block_postings, idx_merged_postings, idx_directory,
         idx_gaps, idx_vb, idx_vb_decoded, idx_gamma, idx_gamma_decoded, idx_written, idx_query_words, idx_rarest_word, idx_boolean_and, idx_boolean_answers,
+        idx_ordered_answers, idx_written_directory,
     )
 }
 
@@ -159,4 +177,6 @@ ORACLES: dict[str, str] = {
     "idx_rarest_word": f"WITH {PAIRS}, {WORDS}, d AS (SELECT term_id, sum(tf)::BIGINT cf FROM pairs GROUP BY 1) SELECT query, CASE WHEN count(*) FILTER (cf IS NULL) = 0 THEN arg_min(term_id, (cf, term_id)) END AS term_id, count(*) AS n_terms, count(*) FILTER (cf IS NULL) AS missing FROM qw LEFT JOIN d USING (term_id) GROUP BY 1",
     "idx_boolean_and": f"WITH {AND} SELECT query, doc_id FROM found",
     "idx_boolean_answers": f"WITH {AND} SELECT n.query, coalesce(doc_name, 'no results found') AS doc_name FROM n LEFT JOIN (SELECT query, doc_name FROM found JOIN doc_dict USING (doc_id)) f ON f.query = n.query",
+    "idx_ordered_answers": f"WITH {AND}, names AS (SELECT n.query, coalesce(doc_name, 'no results found') doc_name FROM n LEFT JOIN (SELECT query, doc_name FROM found JOIN doc_dict USING (doc_id)) f ON f.query = n.query) SELECT query, row_number() OVER (PARTITION BY query ORDER BY doc_name) AS place, doc_name FROM names",
+    "idx_written_directory": f"WITH {POSTS} SELECT term_id, sum(cf)::BIGINT AS cf, sum(df)::BIGINT AS df, list(segment ORDER BY segment)[1] AS first_segment, count(*) AS n_segments FROM posts GROUP BY 1",
 }

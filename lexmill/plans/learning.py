@@ -73,7 +73,33 @@ X5 = f"{P.REC}, {P.TERMS}, {P.TF}, {P.IDF}, {P.QV}, x5 AS (SELECT query, url, "
 REL = "rel AS (SELECT query, url, CAST(body_length % 5 - 1 AS DOUBLE) rel FROM rec)"
 Z5 = f"{X5}, {REL}, z AS (SELECT query, url, rel, " + ", ".join(f"(x_{f} - avg(x_{f}) OVER ()) / CASE WHEN stddev_pop(x_{f}) OVER () > 0 THEN stddev_pop(x_{f}) OVER () ELSE 1 END x_{f}" for f in P.R.FIELDS) + " FROM x5 JOIN rel USING (query, url))"
 
+_N = len(L.FIVE)
+_XS = "[" + ", ".join(L.FIVE) + "]"
+#: Normal equations by elimination, column by column.
+LEAST = f"""{X5}, {REL}, xy AS (SELECT {_XS} x, rel, [{', '.join([*L.FIVE, 'rel'])}] v FROM x5 JOIN rel USING (query, url)),
+    mean AS (SELECT [{', '.join(f'avg(v[{i + 1}])' for i in range(_N + 1))}] mu FROM xy),
+    cov AS (SELECT [{', '.join('[' + ', '.join(f'avg((v[{i + 1}] - mu[{i + 1}]) * (v[{j + 1}] - mu[{j + 1}]))' for j in range(_N + 1)) + ']' for i in range(_N))}] m FROM xy, mean),
+    elim AS (SELECT 1 p, m FROM cov
+        UNION ALL SELECT p + 1, list_transform(m, lambda r, i: CASE WHEN i = p THEN list_transform(r, lambda v: v / m[p][p]) ELSE list_transform(r, lambda v, j: v - r[p] * m[p][j] / m[p][p]) END) FROM elim WHERE p <= {_N}),
+    w AS (SELECT [{', '.join(f'm[{i + 1}][{_N + 1}]' for i in range(_N))}] w FROM elim WHERE p = {_N + 1}),
+    s AS (SELECT query, url, mu[{_N + 1}] + {' + '.join(f'w[{i + 1}] * (x_{f} - mu[{i + 1}])' for i, f in enumerate(P.R.FIELDS))} s FROM x5, w, mean)"""
+#: One example a step, in the order of query and url, ten times over; the last threshold is infinite.
+ORDINAL = f"""{X5}, {REL}, lv AS (SELECT rel, row_number() OVER (ORDER BY rel) - 1 AS level FROM (SELECT DISTINCT rel FROM rel)),
+    ex AS (SELECT row_number() OVER (ORDER BY query, url) - 1 AS rn, level y, {_XS} x FROM x5 JOIN rel USING (query, url) JOIN lv USING (rel)),
+    size AS (SELECT count(*) n, (SELECT count(*) FROM lv) k FROM ex),
+    steps AS (SELECT w, b FROM (WITH RECURSIVE st(one, tick, w, b) USING KEY (one) AS (
+        SELECT 1, 0::BIGINT, list_transform(range({_N}), lambda i: 0::DOUBLE), list_transform(range(k - 1), lambda i: 0::DOUBLE) FROM size
+        UNION SELECT 1, tick + 1, list_transform(w, lambda v, i: v + list_sum(move) * x[i]), list_transform(b, lambda v, l: v - move[l]) FROM (
+            SELECT *, CASE WHEN hit = y THEN list_transform(b, lambda v: 0) ELSE list_transform(b, lambda v, l: CASE WHEN (s - v) * (CASE WHEN y < l THEN -1 ELSE 1 END) <= 0 THEN CASE WHEN y < l THEN -1 ELSE 1 END ELSE 0 END) END move FROM (
+                SELECT *, coalesce(list_position(list_transform(b, lambda v: s < v), true), len(b) + 1) - 1 AS hit FROM (
+                    SELECT st.tick, st.w, st.b, ex.x, ex.y, list_sum(list_transform(st.w, lambda v, i: v * ex.x[i])) s FROM st, size JOIN ex ON ex.rn = st.tick % size.n WHERE st.tick < {L.EPOCHS} * size.n))))
+        SELECT * FROM st)),
+    s AS (SELECT query, url, list_sum(list_transform(w, lambda v, i: v * {_XS}[i])) s, b FROM x5, steps)"""
+
 ORACLES: dict[str, str] = {
+    "ltr_least_squares": f"WITH RECURSIVE {LEAST} {P._ranked('s', 's')}",
+    "ltr_ordinal": f"WITH RECURSIVE {ORDINAL} {P._ranked('s', 's')}",
+    "ltr_predicted_levels": f"WITH RECURSIVE {ORDINAL} SELECT query, url, (coalesce(list_position(list_transform(b, lambda v: s < v), true), len(b) + 1) - 1)::INT AS level FROM s",
     "ltr_features5": f"WITH {X5} SELECT query, url, " + ", ".join(f"round({c}, 8) AS {c}" for c in L.FIVE) + " FROM x5",
     "ltr_features12": f"""WITH {X5}, {P.WIN}, {P.LEN}, {P.AVG}, {P.BM}
         SELECT x5.query, x5.url, {', '.join(f'round({c}, 8) AS {c}' for c in L.FIVE)}, round(s, 8) AS x_bm25f, round({P.EXCESS['body']}, 8) AS x_window, CAST(pagerank AS DOUBLE) AS x_pagerank,

@@ -1,21 +1,38 @@
 """Text files in and out: corpora, edit pairs, feature files, runs and relevance files, and index tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.operators.positions import global_positions, running_name
+from lexmill.operators.skewed_keys import join_held
+from lexmill.session import materialise
 
-def _empty_files(spark: SparkSession, pattern: str) -> list[tuple[str]]:
-    """Paths of files without content, which no file source lists."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(pattern)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
-    return [(f.getPath().toString(),) for f in found if f.isFile() and not f.getLen()]
+
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of files without content, which no file source lists: each folder is listed in a task."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    blocks = [(f.getPath().toString(),) for f in at.getFileSystem(conf).listStatus(at) if f.isDirectory()]  # one row a block
+
+    def listed(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            found = []
+            for block in b.column(0).to_pylist():
+                system, path = fs.FileSystem.from_uri(block)
+                found += [f"{block.rstrip('/')}/{f.base_name}" for f in system.get_file_info(fs.FileSelector(path)) if f.is_file and not f.size]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+    tasks = min(max(len(blocks), 1), spark.sparkContext.defaultParallelism)
+    return spark.createDataFrame(blocks, "path string").repartition(tasks).mapInArrow(listed, "path string")
 
 
 def read_corpus(spark: SparkSession, root: str) -> DataFrame:
     """(block, doc_name, text) of root/<block>/<file>; a document is a whole file, named block/file."""
     whole = spark.read.format("binaryFile").load(f"{root}/*/*").select("path", F.decode("content", "UTF-8").alias("text"))
-    empty = spark.createDataFrame(_empty_files(spark, f"{root}/*/*"), "path string").select("path", F.lit("").alias("text"))
+    empty = _empty_files(spark, root).select("path", F.lit("").alias("text"))
     parts = F.split("path", "/")
     block, name = F.element_at(parts, -2), F.element_at(parts, -1)
     return whole.unionByName(empty).select(block.alias("block"), F.concat_ws("/", block, name).alias("doc_name"), "text")
@@ -36,69 +53,94 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "query")
 
 
-def _values(block: Column, key: str) -> Column:
-    return F.regexp_extract_all(block, F.lit(rf"(?m)^[ \t]*{key}:[ \t]*(.*?)[ \t]*$"), F.lit(1))
+def _keyed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(q, u, at, key, value): the `key: value` lines of files, with how many query and url lines there are up to each.
 
-
-def _blocks(text: Column, key: str) -> Column:
-    """Parts of a text that begin at a line `key: value`, each led by the value."""
-    parts = F.split(text, rf"(?m)^[ \t]*{key}:[ \t]*", -1)
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+    Lines are read as such, so files of any size are split among tasks; they are put in order by file, the start of the
+    split in it, and their order within that.
+    """
+    parts = r"^[ \t]*(\w+):[ \t]*(.*?)[ \t]*$"
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    lines = read.select(F.lit(0).alias("all"), "file", "start", "id", F.regexp_extract("value", parts, 1).alias("key"), F.regexp_extract("value", parts, 2).alias("value")).where("key <> ''")
+    marked = lines.withColumns({f"is_{k}": (F.col("key") == k).cast("int") for k in ("query", "url")}).withColumn("one", F.lit(1))
+    order = [F.col(c).asc() for c in ("file", "start", "id")]
+    numbered = global_positions(marked, ["all"], order, weight=["is_query", "is_url", "one"], label="lines")
+    return numbered.select(F.col(running_name(0)).alias("q"), F.col(running_name(1)).alias("u"), F.col(running_name(2)).alias("at"), "key", "value")
 
 
-def _head(block: Column) -> Column:
-    return F.rtrim(F.element_at(F.split(block, r"\r?\n", 2), 1))
+def _queries_of(lines: DataFrame) -> DataFrame:
+    """(q, query, urls): the query lines, and how many url lines follow each."""
+    urls = F.count_if(F.col("key") == "url").alias("urls")
+    return materialise(lines.where("q > 0 AND key IN ('query', 'url')").groupBy("q").agg(F.max(F.when(F.col("key") == "query", F.col("value"))).alias("query"), urls, F.min(F.when(F.col("key") == "url", F.col("u"))).alias("first")), "queries")
 
 
-def parse_features(files: DataFrame) -> DataFrame:
-    """Ranking-feature records of whole files (value string) with `key: value` lines.
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """Ranking-feature records of files with `key: value` lines.
 
     A query holds until the next, a url until the next. A url given again in its query replaces its record, a query
     given again replaces its urls; the last count of an anchor text counts. A count belongs to the anchor text before it.
     """
-    lines = files.select(F.monotonically_increasing_id().alias("file"), F.posexplode(_blocks(F.col("value"), "query")).alias("q_at", "q"))
-    queries = lines.select("file", "q_at", _head(F.col("q")).alias("query"), "q")
-    last_query = Window.partitionBy("file", "query").orderBy(F.col("q_at").desc())
-    queries = queries.withColumn("again", F.row_number().over(last_query)).where("again = 1")
-    urls = queries.select("file", "query", F.posexplode(_blocks(F.col("q"), "url")).alias("u_at", "u")).select("file", "query", "u_at", _head(F.col("u")).alias("url"), "u")
-    last_url = Window.partitionBy("file", "query", "url").orderBy(F.col("u_at").desc())
-    urls = urls.withColumn("again", F.row_number().over(last_url)).where("again = 1")
-    u = F.col("u")
-    hits = F.transform(_values(u, "body_hits"), lambda h: F.split(F.trim(h), r"\s+"))
-    hit = lambda h: F.struct(h[0].alias("key"), F.transform(F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))), lambda x: x.cast("int")).alias("value"))
-    anchor = r"(?m)^[ \t]*anchor_text:[ \t]*(.*?)[ \t]*\r?\n[ \t]*stanford_anchor_count:[ \t]*([0-9]+)[ \t]*$"
-    texts, counts = F.regexp_extract_all(u, F.lit(anchor), F.lit(1)), F.regexp_extract_all(u, F.lit(anchor), F.lit(2))
+    lines = _keyed_lines(spark, path)
+    queries = _queries_of(lines)
+    last_query = queries.groupBy("query").agg(F.max("q").alias("q"))
+    kept = materialise(queries.join(last_query, ["query", "q"], "left_semi").where("urls > 0").select("q", "query", "urls"), "kept")
+    # A url line has the count of the last query before it, and lines after it have its own.
+    of_url = lines.where("q > 0 AND u > 0 AND key <> 'query'").groupBy("q", "u").agg(F.array_sort(F.collect_list(F.struct("at", "key", "value"))).alias("lines"))
+    # Lines between a query and its first url are of no url.
+    records = of_url.where(F.exists("lines", lambda x: x["key"] == "url")).withColumn("url", F.element_at(F.filter("lines", lambda x: x["key"] == "url"), 1)["value"])
+    latest = records.groupBy("q", "url").agg(F.max_by("lines", "u").alias("lines"))
+    found = join_held(materialise(latest, "records"), kept, ["q"], "urls")
+    values = lambda key: F.transform(F.filter("lines", lambda x: x["key"] == key), lambda x: x["value"])
+    hits = F.transform(values("body_hits"), lambda h: F.split(F.trim(h), r"\s+"))
+    hit = lambda h: F.struct(h[0].alias("key"), F.transform(F.slice(h, F.lit(2), F.greatest(F.size(h) - 1, F.lit(0))), lambda x: x.try_cast("int")).alias("value"))
     last = lambda entries: F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    anchors = F.zip_with(texts, counts, lambda t, n: F.struct(t.alias("key"), n.cast("int").alias("value")))
-    first = lambda key: F.try_element_at(_values(u, key), F.lit(-1))
-    return urls.select(
+    after = F.transform("lines", lambda x, i: F.struct(x["key"].alias("k"), x["value"].alias("key"), F.try_element_at("lines", (i + 2).cast("int")).alias("next")))
+    counted = F.filter(after, lambda x: (x["k"] == "anchor_text") & (x["next"]["key"] == "stanford_anchor_count") & x["next"]["value"].try_cast("int").isNotNull())
+    anchors = F.transform(counted, lambda x: F.struct(x["key"].alias("key"), x["next"]["value"].try_cast("int").alias("value")))
+    first = lambda key: F.try_element_at(values(key), F.lit(-1))
+    return found.select(
         "query",
         "url",
         first("title").alias("title"),
-        _values(u, "header").alias("header"),
+        values("header").alias("header"),
         F.map_from_entries(last(F.transform(hits, hit))).alias("body_hits"),
-        first("body_length").cast("int").alias("body_length"),
-        first("pagerank").cast("int").alias("pagerank"),
+        first("body_length").try_cast("int").alias("body_length"),
+        first("pagerank").try_cast("int").alias("pagerank"),
         F.map_from_entries(last(anchors)).alias("anchors"),
     )
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return parse_features(spark.read.text(path, wholetext=True))
+def feature_lines(records: DataFrame) -> DataFrame:
+    """(query, url, at, line): the lines of a feature file, a query's own with a null url, a record's from 0."""
+    blank = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")
+    line = lambda key, value: F.concat(F.lit(f"    {key}: "), value)
+    hits = F.transform(F.map_entries("body_hits"), lambda h: line("body_hits", F.concat_ws(" ", h["key"], F.array_join(F.transform(h["value"], lambda x: x.cast("string")), " "))))
+    anchors = F.flatten(F.transform(F.map_entries("anchors"), lambda a: F.array(line("anchor_text", blank(a["key"])), line("stanford_anchor_count", a["value"].cast("string")))))
+    number = lambda c: line(c, F.coalesce(F.col(c).cast("string"), F.lit("")))
+    head = F.array(F.concat(F.lit("  url: "), "url"), line("title", blank(F.col("title"))))
+    every = F.concat(head, F.transform("header", lambda h: line("header", blank(h))), F.coalesce(hits, F.array().cast("array<string>")), F.array(number("body_length"), number("pagerank")), F.coalesce(anchors, F.array().cast("array<string>")))
+    own = records.select("query", "url", F.posexplode(every).alias("at", "line"))
+    heads = records.select("query").distinct().select("query", F.lit(None).cast("string").alias("url"), F.lit(0).alias("at"), F.concat(F.lit("query: "), "query").alias("line"))
+    return own.unionByName(heads)
 
 
-def parse_judged(files: DataFrame) -> DataFrame:
-    """(query, rank, url, rel) of run or relevance files: urls in order under their query; rel is a number after the
-    url, else null. A query without urls has no rows."""
-    queries = files.select(F.explode(_blocks(F.col("value"), "query")).alias("q")).select(_head(F.col("q")).alias("query"), F.posexplode(_values(F.col("q"), "url")).alias("at", "u"))
-    scored = r"^(.*?)[ \t]+(-?[0-9]+(?:\.[0-9]+)?)$"
-    has = F.col("u").rlike(scored)
-    url = F.when(has, F.regexp_extract("u", scored, 1)).otherwise(F.col("u"))
-    return queries.select("query", (F.col("at") + 1).alias("rank"), url.alias("url"), F.when(has, F.regexp_extract("u", scored, 2).cast("double")).alias("rel"))
+def write_features(records: DataFrame, path: str) -> None:
+    """Feature files whose lines, file after file, are those of the records (one for each query and url). White space in
+    texts becomes a blank."""
+    order = [F.col("query").asc(), F.col("url").asc_nulls_first(), F.col("at").asc()]
+    feature_lines(records).repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").text(path)
 
 
 def read_judged(spark: SparkSession, path: str) -> DataFrame:
-    return parse_judged(spark.read.text(path, wholetext=True))
+    """(query, rank, url, rel) of run or relevance files: urls in order under their query; rel is a number after the
+    url, else null. A query without urls has no rows."""
+    lines = _keyed_lines(spark, path)
+    urls = lines.where("q > 0 AND key = 'url'").select("q", "u", "value")
+    found = join_held(urls, _queries_of(lines).where("urls > 0"), ["q"], "urls")
+    scored = r"^(.*?)[ \t]+(-?[0-9]+(?:\.[0-9]+)?)$"
+    has = F.col("value").rlike(scored)
+    url = F.when(has, F.regexp_extract("value", scored, 1)).otherwise(F.col("value"))
+    return found.select("query", (F.col("u") - F.col("first") + 1).alias("rank"), url.alias("url"), F.when(has, F.regexp_extract("value", scored, 2).cast("double")).alias("rel"))
 
 
 def run_lines(run: DataFrame) -> DataFrame:
@@ -113,9 +155,16 @@ def write_run(run: DataFrame, path: str) -> None:
 
 
 def write_index(path: str, docs: DataFrame, terms: DataFrame, postings: DataFrame) -> None:
-    """Dictionaries sorted by id and postings by term, as Parquet."""
+    """Dictionaries sorted by id, postings by term and segment, and the directory of terms, as Parquet."""
     for name, df, key in (("doc_dict", docs, "doc_id"), ("word_dict", terms, "term_id"), ("postings", postings, "term_id")):
         df.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").parquet(f"{path}/{name}")
+    segments = postings.groupBy("term_id").agg(F.sum("cf").alias("cf"), F.sum("df").alias("df"), F.min("segment").alias("first_segment"), F.count(F.lit(1)).alias("n_segments"))
+    segments.repartitionByRange("term_id").sortWithinPartitions("term_id").write.mode("overwrite").parquet(f"{path}/directory")
+
+
+def read_directory(spark: SparkSession, path: str) -> DataFrame:
+    """(term_id, cf, df, first_segment, n_segments): where the postings of each term begin and how many there are."""
+    return spark.read.parquet(f"{path}/directory")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

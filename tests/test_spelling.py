@@ -29,7 +29,8 @@ def test_distances(pairs):
 @given(st.text("abc", max_size=7), st.text("abc", max_size=7))
 def test_as_many_edits_as_the_distance(a, b):
     a, b = "~" + a, "~" + b
-    assert len(edits_of(tables([a], [b])[:, :, 0], a, b)) == plain(a, b)
+    assert len(edits_of(tables([a], [b]), [a], [b])[0]) == plain(a, b)
+    assert edits_of(tables([a, b], [b, a]), [a, b], [b, a]) == [edits_of(tables([x], [y]), [x], [y])[0] for x, y in ((a, b), (b, a))]
 
 
 def test_known_distances_and_nulls(spark):

@@ -1,4 +1,4 @@
-from lexmill.operators.index import NO_RESULT
+from lexmill.operators.index import NO_RESULT, postings
 from lexmill.streaming.search import answer_stream
 
 
@@ -9,7 +9,7 @@ def test_a_stream_of_queries_is_answered(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.txt").write_text("a b\nb c\n\n")
     asked = spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "query")
-    run = answer_stream(asked, words, occ, names, str(tmp_path / "out"), str(tmp_path / "cp"))
+    run = answer_stream(asked, words, postings(occ), names, str(tmp_path / "out"), str(tmp_path / "cp"))
     run.processAllAvailable()
     run.stop()
     got = spark.read.parquet(str(tmp_path / "out"))
