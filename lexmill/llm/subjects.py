@@ -32,6 +32,8 @@ from lexmill.session import bucketed, materialise, release, written
 #: More subjects are an error: each is a column.
 MAX_SUBJECTS = 100
 MIN_DOCS = 5
+#: Sentences whose labels must have reached a word before it counts as telling nothing.
+REACHED = 20.0
 #: Numbers in a table of terms, and labelled documents, that are broadcast; larger tables are joined, with the same result.
 MAX_CELLS, MAX_SEEDS, SALTS = 4_000_000, 50_000, 32
 #: Labels have settled when documents change by this much of their labels on average; and no more than so many steps.
@@ -130,7 +132,7 @@ def _settle(k: int, unit: float):
     def run(batches):
         for b in whole(x for x in batches if x.num_rows):
             table = lambda at, b=b: np.stack([b.column(at + j).to_numpy(zero_copy_only=False).astype(float) for j in range(k)], 1)
-            x, lift, seen = table(5), table(5 + k), b.column(3).to_numpy(zero_copy_only=False).astype(float)
+            x, lift, seen = table(6), table(6 + k), b.column(4).to_numpy(zero_copy_only=False).astype(float)
             top, at = x.max(1), x.argmax(1)
             # A recurrent sentence must be of documents on that subject; where too few are known, it must tell by itself.
             known = lift[np.arange(len(x)), at] >= exp(SENTENCE_LIFT * unit)
@@ -142,13 +144,13 @@ def _settle(k: int, unit: float):
             of = np.cumsum(np.append(False, rows[1:] != rows[:-1]))
             spread = np.add.reduceat(_softmax(x), starts)
             spread /= spread.sum(1, keepdims=True)
-            given = np.nan_to_num(table(5 + 2 * k)[on][starts])
-            complete = pc.fill_null(b.column(4), False).to_numpy(zero_copy_only=False)[on][starts]
+            given = np.nan_to_num(table(6 + 2 * k)[on][starts])
+            complete = pc.fill_null(b.column(5), False).to_numpy(zero_copy_only=False)[on][starts]
             clamp = complete & ((given == 0) | (spread >= TRUST)).all(1)
             z = x + (np.log(spread + 0.02) - 30.0 * (clamp[:, None] & (given == 0)))[of]
             p = _softmax(z).round(4).astype(np.float32)
             kept = pa.array(on)
-            yield pa.RecordBatch.from_arrays([*[b.column(j).filter(kept) for j in range(3)], pa.array(z.argmax(1).astype(np.int32)), *[pa.array(p[:, j]) for j in range(k)]], ["row", "doc_id", "sid", "best", *[f"p{j}" for j in range(k)]])
+            yield pa.RecordBatch.from_arrays([*[b.column(j).filter(kept) for j in range(4)], pa.array(z.argmax(1).astype(np.int32)), *[pa.array(p[:, j]) for j in range(k)]], ["row", "doc_id", "mass", "place", "best", *[f"p{j}" for j in range(k)]])
 
     return run
 
@@ -158,29 +160,38 @@ def _grouped(df: DataFrame, keys: list[str], *sums: str) -> DataFrame:
 
 
 class _Graph:
-    """Links (row, doc_id, sid, mass, node) of documents and their sentences to verified terms, and the seeds by row."""
+    """Links (row, place, node) of documents and their sentences to verified terms; documents (row, doc_id, mass) with
+    the labels of seeds. A place is the number of a sentence in its document and how many words it has."""
 
     def __init__(self, documents: DataFrame, labels: DataFrame, subjects: list[str], max_seeds: int, max_cells: int):
         self.subjects, self.k, self.max_cells = subjects, len(subjects), max_cells
         self.unit = log(max(self.k, 2))
         rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         raw = materialise(rows.mapInArrow(lambda it: map(cut, slices(it, "text")), SENTENCES), "sentences")
-        each = raw.select("mass", "first", "fresh", F.size("words").alias("n"), F.posexplode(F.concat("words", F.array("sentence"))).alias("at", "node"))
-        new = (F.col("at") < F.col("fresh")) | ((F.col("at") == F.col("n")) & F.col("first"))
-        counted = each.groupBy("node").agg(F.count_if(new).alias("docs"), F.sum("mass").alias("mass"))
-        self.nodes = materialise(counted.where(F.col("docs") >= MIN_DOCS), "nodes")
-        found = self.nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("docs"), F.lit(0)).alias("links")).first()
-        self.small = found["n"] * (self.k + 3) <= max_cells
-        self.n = max(raw.sparkSession.sparkContext.defaultParallelism, -(-found["links"] // BUCKET))
-        links = raw.select("row", "doc_id", "sid", "mass", F.explode(F.concat("words", F.array("sentence"))).alias("node"))
-        self.links = bucketed(self.to_links(links, self.nodes.select("node")), "row", self.n, "links")
+        each = raw.selectExpr("mass", "first", "fresh", "size(words) AS n", "posexplode(concat(words, array(sentence))) AS (at, node)")
+        counted = _grouped(each, ["node"], "count_if(at < fresh OR at = n AND first) AS docs", "sum(mass) AS mass")
+        self.nodes = materialise(counted.where(f"docs >= {MIN_DOCS}"), "nodes")
         name = F.lower(F.trim(F.col("subject")))
         given = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), name.alias("s")).where("doc_id IS NOT NULL").withColumn("valid", F.coalesce(F.col("s").isin(subjects), F.lit(False)))
         flags = [F.max(F.when(F.col("s") == s, 1.0).otherwise(0.0)).alias(f"g{j}") for j, s in enumerate(subjects)]
         seeds = given.groupBy("doc_id").agg(*flags, F.every("valid").alias("complete"), F.some("valid").alias("any")).where("any").drop("any")
         if seeds.limit(max_seeds + 1).count() <= max_seeds:
             seeds = F.broadcast(seeds)
-        self.seeds = bucketed(raw.where("sid = 0").select("row", "doc_id").join(seeds, "doc_id").drop("doc_id"), "row", self.n, "seeds")
+        # Each sentence of a seed sends what the seed is labelled.
+        g = self.columns("g")
+        sent = raw.join(seeds, "doc_id").selectExpr(*[f"{c} / {_plus(g)} * mass AS s{j}" for j, c in enumerate(g)], "explode(concat(words, array(sentence))) AS node")
+        self.first = self.summed(sent, False)
+        self.first_base = self.base(self.first, 0)
+        # Words that many labels reach, of all subjects alike, tell nothing and have no links.
+        told = self.first.selectExpr("node", f"{_plus(self.columns('s', 1))} AS reached", *self.shares(self.first_base))
+        self.nodes = materialise(self.nodes.join(told.where(f"node & 1 = 0 AND reached >= {REACHED}D AND {self.gain(self.first_base)} < {WORD_GAIN / 2 * self.unit}D"), "node", "left_anti"), "verified")
+        found = self.nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("docs"), F.lit(0)).alias("links")).first()
+        self.small = found["n"] * (self.k + 3) <= max_cells
+        self.n = max(raw.sparkSession.sparkContext.defaultParallelism, -(-found["links"] // BUCKET))
+        links = raw.selectExpr("row", "shiftleft(bigint(sid), 32) + size(words) AS place", "explode(concat(words, array(sentence))) AS node")
+        self.links = bucketed(self.to_links(links, self.nodes.select("node")), "row", self.n, "links")
+        self.words = raw.agg(F.expr("coalesce(sum(mass * size(words)), 0D) AS m")).first()["m"]
+        self.docs = bucketed(raw.where("sid = 0").select("row", "doc_id", "mass").join(seeds, "doc_id", "left"), "row", self.n, "docs")
 
     def columns(self, letter: str, more: int = 0) -> list[str]:
         return [f"{letter}{j}" for j in range(self.k + more)]
@@ -199,50 +210,59 @@ class _Graph:
         every = self.nodes.join(_grouped(sent, ["node"], *[f"sum({c}) AS {c}" for c in s]), "node", "left").selectExpr("node", "mass", *[f"coalesce({c}, 0D) AS {c}" for c in s])
         return materialise(every.selectExpr("*", f"{f'greatest(mass - {_plus(s)}, 0D)' if of_all else '0D'} AS s{self.k}"), "sums")
 
-    def from_seeds(self) -> DataFrame:
-        """Sums of the seeds' labels: each sentence of a seed sends what the seed is labelled."""
-        g = self.columns("g")
-        shared = self.seeds.selectExpr("row", *[f"{c} / {_plus(g)} AS {c}" for c in g])
-        sent = self.links.join(shared.hint("shuffle_hash"), "row").selectExpr("node", *[f"{c} * mass AS s{j}" for j, c in enumerate(g)])
-        return self.summed(sent, False)
-
     def from_all(self, told: DataFrame) -> DataFrame:
         """Sums of the labels of all sentences: words get those of their sentences, recurrent sentences those of their documents."""
-        to_words = self.links.where("node & 1 = 0").join(told.drop("doc_id", "best").hint("shuffle_hash"), ["row", "sid"])
+        to_words = self.links.where("node & 1 = 0").join(told.drop("doc_id", "best").hint("shuffle_hash"), ["row", "place"])
         to_sentences = self.links.where("node & 1 = 1").join(self.spread(told).hint("shuffle_hash"), "row")
         sent = [df.selectExpr("node", *[f"{x}{j} * mass AS s{j}" for j in range(self.k)]) for df, x in ((to_words, "p"), (to_sentences, "q"))]
         return self.summed(sent[0].unionByName(sent[1]), True)
 
     def spread(self, told: DataFrame) -> DataFrame:
-        """(row, q0 ...): the share of each subject in a document's sentences that are on any."""
+        """(row, mass, q0 ...): the share of each subject in a document's sentences that are on any."""
         q = self.columns("q")
-        return _grouped(told, ["row"], *[f"sum(p{j}) AS {c}" for j, c in enumerate(q)]).selectExpr("row", *[f"{c} / {_plus(q)} AS {c}" for c in q])
+        return _grouped(told, ["row", "mass"], *[f"sum(p{j}) AS {c}" for j, c in enumerate(q)]).selectExpr("row", "mass", *[f"{c} / {_plus(q)} AS {c}" for c in q])
+
+    def base(self, sums: DataFrame, odd: int) -> np.ndarray:
+        """The share of each subject, and of none, in the sums over all words, or all sentences."""
+        got = sums.where(f"node & 1 = {odd}").agg(*[F.expr(f"coalesce(sum({c}), 0D) AS {c}") for c in self.columns("s", 1)]).first()
+        return self.of_one(np.array(list(got), float))
+
+    def of_one(self, total: np.ndarray) -> np.ndarray:
+        return (total + 1e-6) / (total.sum() + 1e-6 * len(total))
+
+    def base_of_words(self, told: DataFrame) -> np.ndarray:
+        """The same over the words of all sentences, linked or not."""
+        got = told.agg(*[F.expr(f"coalesce(sum({c} * mass * (place & 4294967295)), 0D) AS {c}") for c in self.columns("p")]).first()
+        on = np.array(list(got), float)
+        return self.of_one(np.append(on, max(self.words - on.sum(), 0.0)))
+
+    def shares(self, base: np.ndarray) -> list[str]:
+        """What a term's sums say of each subject, smoothed towards the base."""
+        s = self.columns("s", 1)
+        return [f"({c} + {SMOOTHING * x!r}D) / ({_plus(s)} + {SMOOTHING}D) AS p{j}" for j, (c, x) in enumerate(zip(s[:-1], base.tolist()))]
+
+    def gain(self, base: np.ndarray) -> str:
+        return _plus([f"p{j} * ln((p{j} + 1e-9D) / {x + 1e-9!r}D)" for j, x in enumerate(base[: self.k].tolist())])
 
-    def telling(self, sums: DataFrame) -> DataFrame:
+    def telling(self, sums: DataFrame, words_base: np.ndarray) -> DataFrame:
         """(node, seen, w0 ...): for words that tell subjects apart a log ratio by subject, for recurrent sentences how much
         more often than others their documents are on a subject (where they are not, it is a notice that names it)."""
-        k, s = self.k, self.columns("s", 1)
-        bases = np.zeros((2, k + 1))
-        for r in _grouped(sums.selectExpr("node & 1 AS odd", *s), ["odd"], *[f"sum({c}) AS {c}" for c in s]).collect():  # two rows
-            bases[r["odd"]] = [r[c] for c in s]
-        bases = (bases + 1e-6) / (bases.sum(1, keepdims=True) + 1e-6 * len(s))
-        share = lambda b: [f"({c} + {SMOOTHING * x!r}D) / ({_plus(s)} + {SMOOTHING}D) AS p{j}" for j, (c, x) in enumerate(zip(s[:-1], b.tolist()))]
-        gain = _plus([f"p{j} * ln((p{j} + 1e-9D) / {x + 1e-9!r}D)" for j, x in enumerate(bases[0, :k].tolist())])
-        words = sums.where("node & 1 = 0").selectExpr("node", *share(bases[0])).where(f"{gain} >= {WORD_GAIN * self.unit}D")
-        words = words.selectExpr("node", "0D AS seen", *[f"ln((p{j} + 1e-3D) / {x + 1e-3!r}D) AS w{j}" for j, x in enumerate(bases[0, :k].tolist())])
-        sentences = sums.where("node & 1 = 1").selectExpr("node", f"{_plus(s)} AS seen", *share(bases[1]))
-        return words.unionByName(sentences.selectExpr("node", "seen", *[f"p{j} / {max(x, 1e-9)!r}D AS w{j}" for j, x in enumerate(bases[1, :k].tolist())]))
+        other = self.base(sums, 1)
+        words = sums.where("node & 1 = 0").selectExpr("node", *self.shares(words_base)).where(f"{self.gain(words_base)} >= {WORD_GAIN * self.unit}D")
+        words = words.selectExpr("node", "0D AS seen", *[f"ln((p{j} + 1e-3D) / {x + 1e-3!r}D) AS w{j}" for j, x in enumerate(words_base[: self.k].tolist())])
+        sentences = sums.where("node & 1 = 1").selectExpr("node", f"{_plus(self.columns('s', 1))} AS seen", *self.shares(other))
+        return words.unionByName(sentences.selectExpr("node", "seen", *[f"p{j} / {max(x, 1e-9)!r}D AS w{j}" for j, x in enumerate(other[: self.k].tolist())]))
 
     def labelled(self, terms: DataFrame) -> DataFrame:
-        """(row, doc_id, sid, best, p0 ...): the sentences on any subject with the probability of each."""
+        """(row, doc_id, mass, place, best, p0 ...): the sentences on any subject with the probability of each."""
         x, lift, g, p = (self.columns(c) for c in "xlgp")
         scores = [f"sum(CASE WHEN node & 1 = 0 THEN w{j} ELSE 0D END) AS {c}" for j, c in enumerate(x)]
         lifts = [f"max(CASE WHEN node & 1 = 1 THEN w{j} END) AS {c}" for j, c in enumerate(lift)]
         # seen is null where no recurrent sentence is there.
-        by = _grouped(self.to_links(self.links.drop("mass"), terms), ["row", "doc_id", "sid"], *scores, *lifts, "max(CASE WHEN node & 1 = 1 THEN seen END) AS seen")
-        on = by.where(" OR ".join(f"{c} >= {LEAST_SCORE * self.unit}D" for c in x)).join(self.seeds.hint("shuffle_hash"), "row", "left")
-        columns = ["row", "doc_id", "sid", "seen", "complete", *x, *lift, *g]
-        settled = on.select(*columns).sortWithinPartitions("row").mapInArrow(_settle(self.k, self.unit), "row bigint, doc_id bigint, sid int, best int, " + ", ".join(f"{c} float" for c in p))
+        by = _grouped(self.to_links(self.links, terms), ["row", "place"], *scores, *lifts, "max(CASE WHEN node & 1 = 1 THEN seen END) AS seen")
+        on = by.where(" OR ".join(f"{c} >= {LEAST_SCORE * self.unit}D" for c in x)).join(self.docs.hint("shuffle_hash"), "row")
+        keys = ["row", "doc_id", "mass", "place"]
+        settled = on.select(*keys, "seen", "complete", *x, *lift, *g).sortWithinPartitions("row").mapInArrow(_settle(self.k, self.unit), "row bigint, doc_id bigint, mass double, place bigint, best int, " + ", ".join(f"{c} float" for c in p))
         return bucketed(settled, "row", self.n, "told")
 
     def change(self, before: DataFrame, after: DataFrame) -> float:
@@ -274,9 +294,9 @@ def subject_sentences(
         return spark.createDataFrame([], RESULT)
     since = written()
     graph = _Graph(documents, labels, subjects, max_seeds, max_cells)
-    told = graph.labelled(graph.telling(graph.from_seeds()))
+    told = graph.labelled(graph.telling(graph.first, graph.first_base))
     for _ in range(max_steps):
-        before, told = told, graph.labelled(graph.telling(graph.from_all(told)))
+        before, told = told, graph.labelled(graph.telling(graph.from_all(told), graph.base_of_words(told)))
         if graph.change(before, told) < tolerance:
             break
     else:
