@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 INF = float("inf")
+#: How much a window can add (fixed value).
 BOOST = 1.9
 
 

@@ -201,6 +201,8 @@ def train(task: int, rows: DataFrame, documents: DataFrame, relevance: DataFrame
     return pairwise_svm(x, TWELVE if task == 3 else FIVE)
 
 
-def test(task: int, model: Linear | Ordinal, rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """The run of the records under a trained model; features are used as they are."""
-    return ranked(model.score(features12(rows, documents) if task == 3 else features5(rows, documents)))
+def test(task: int, model: Linear | Ordinal, rows: DataFrame, documents: DataFrame, scaled: bool = False) -> DataFrame:
+    """The run of the records under a trained model. Features are used as they are, or scaled as in pairwise training."""
+    columns = TWELVE if task == 3 else FIVE
+    x = features12(rows, documents) if task == 3 else features5(rows, documents)
+    return ranked(model.score(standardised(materialise(x, "features"), columns) if scaled else x))

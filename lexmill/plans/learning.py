@@ -52,6 +52,12 @@ def _run(task):
     return query
 
 
+def ltr_least_squares_scaled(spark, sf):
+    """The run on scaled features."""
+    rows, docs, rel = _data(spark, sf)
+    return L.test(1, L.train(1, rows, docs, rel), rows, docs, scaled=True)
+
+
 def ltr_predicted_levels(spark, sf):
     rows, docs, rel = _data(spark, sf)
     return L.train(4, rows, docs, rel).level(L.features5(rows, docs))
@@ -61,7 +67,7 @@ def ltr_pdf(spark, sf):
     return P.recs(spark, sf).select("query", "url", L.ends_with_pdf(F.col("url")).alias("pdf"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ltr_features5, ltr_features12, ltr_standardised, ltr_pairs, ltr_levels, ltr_predicted_levels, ltr_pdf)} | {
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (ltr_features5, ltr_features12, ltr_standardised, ltr_pairs, ltr_levels, ltr_least_squares_scaled, ltr_predicted_levels, ltr_pdf)} | {
     "ltr_least_squares": _run(1),
     "ltr_pairwise_svm": _run(2),
     "ltr_pairwise_svm12": _run(3),
@@ -98,6 +104,11 @@ ORDINAL = f"""{X5}, {REL}, lv AS (SELECT rel, row_number() OVER (ORDER BY rel) -
 
 ORACLES: dict[str, str] = {
     "ltr_least_squares": f"WITH RECURSIVE {LEAST} {P._ranked('s', 's')}",
+    "ltr_least_squares_scaled": f"WITH RECURSIVE {LEAST}, sc AS (SELECT query, url, mu[{_N + 1}] - ("
+    + " + ".join(f"w[{i + 1}] * mu[{i + 1}]" for i in range(_N))
+    + ") + "
+    + " + ".join(f"w[{i + 1}] * (x_{f} - avg(x_{f}) OVER ()) / CASE WHEN stddev_pop(x_{f}) OVER () > 0 THEN stddev_pop(x_{f}) OVER () ELSE 1 END" for i, f in enumerate(P.R.FIELDS))
+    + f" s FROM x5, w, mean) {P._ranked('s', 'sc')}",
     "ltr_ordinal": f"WITH RECURSIVE {ORDINAL} {P._ranked('s', 's')}",
     "ltr_predicted_levels": f"WITH RECURSIVE {ORDINAL} SELECT query, url, (coalesce(list_position(list_transform(b, lambda v: s < v), true), len(b) + 1) - 1)::INT AS level FROM s",
     "ltr_features5": f"WITH {X5} SELECT query, url, " + ", ".join(f"round({c}, 8) AS {c}" for c in L.FIVE) + " FROM x5",

@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of an Arrow batch that goes to Python: whole texts may be long, and batches are else counted in rows.
-BATCH_BYTES = 8 << 20
-
 _local: list[str] = []
 _written: list[str] = []
 

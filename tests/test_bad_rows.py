@@ -50,6 +50,14 @@ def reasons(spark, lines):
         ("q,u,t,,5,0,,3", {"stanford_anchor_count"}),
         ("q,u,t,x,5,-1,a,b", {"body_hits", "pagerank", "stanford_anchor_count"}),
         ("\x01\x02a\x02b,u,t,,5,0,,", set()),
+        ("q,u,t,spark 3 2999999999,3000000000,3,docs,2", set()),
+        ("q,u,t,spark 3,9223372036854775807,3,docs,2", set()),
+        ("q,u,t,spark 3,00000000000000000000000000000012,3,docs,2", set()),
+        ("q,u,t,spark 3,9223372036854775808,3,docs,2", {"body_length"}),
+        ("q,u,t,spark 99999999999999999998 99999999999999999999,99999999999999999999,3,docs,2", {"body_length"}),
+        ("q,u,t,spark 99999999999999999999 100000000000000000000,99999999999999999999,3,docs,2", {"body_hits", "body_length"}),
+        ("q,u,t,,abc,3,docs,2", {"body_length"}),
+        ("q,u,t,,5,99999999999999999999,,", {"pagerank"}),
     ],
 )
 def test_reasons(spark, line, expected):
@@ -71,6 +79,30 @@ def test_every_line_comes_out_once(spark):
     assert valid | bad == set(range(300))
 
 
+def test_no_value_aborts_a_load(spark):
+    """Generated lines of eight fields with numbers of any size, and stray quotes: valid and rejected part the input, and all of it can be read."""
+    rng = random.Random(17)
+
+    def number():
+        if rng.random() < 0.6:
+            return str(rng.randint(0, 10))
+        return rng.choice(["", "0", "7", "007", "-1", "+1", "1e3", "abc", " 5 ", str(rng.randint(0, 99)), str(2**31 - 1), str(2**31), str(2**63 - 1), str(2**63), "9" * rng.randint(17, 45), "0" * 40 + "3", "٣"])
+
+    def line():
+        hits = ";".join(" ".join(["t", *sorted((number() for _ in range(rng.randint(1, 3))), key=len)]) for _ in range(rng.randint(0, 2)))
+        fields = [rng.choice(["q", '"q"', '"q', 'q"']) if rng.random() < 0.2 else "q", "u", "t", hits, number(), number(), rng.choice(["", "docs"]), number()]
+        return ",".join(fields)
+
+    lines = [line() for _ in range(1500)]
+    done = load(spark, lines)
+    valid, bad = done.valid.collect(), {r.line_id for r in done.rejected.collect()}
+    good = {r.line_id for r in valid}
+    assert not good & bad and good | bad == set(range(len(lines))) and len(good) > 20
+    for r in valid:
+        assert r.body_length is not None and r.pagerank is not None
+        assert all(p is not None and p <= r.body_length for h in r.body_hits for p in h.positions)
+
+
 def test_long_line(spark):
     quotes = '"' + '""' * 200_000 + '",u,t,,5,0,,'
     hits = "q,u,t," + ";".join(f"t{i} 1" for i in range(20_000)) + ",5,0,,"

@@ -4,7 +4,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from lexmill.operators.positions import POS, RUN, global_positions, running_name
-from lexmill.operators.skewed_keys import compress, key_percentiles, key_summary, wrong_doc_freq
+from lexmill.operators.skewed_keys import compress, join_held, key_percentiles, key_summary, wrong_doc_freq
 
 
 def test_positions_match_a_sort(spark):
@@ -56,3 +56,15 @@ def test_doc_freq_check(spark):
     pd_ = spark.createDataFrame([("b", 7, 0, 1), ("c", 7, 0, 1), ("c", 7, 0, 1), ("b", 8, 0, None), ("b", 9, 0, 0), ("b", 11, 0, 4), ("b", None, 0, 4)], "block string, term_id int, byte_offset long, doc_freq long")
     assert sorted(r.term_id for r in wrong_doc_freq(td, pd_).collect()) == [8, 10, 11]
     assert wrong_doc_freq(td.limit(0), pd_.limit(0)).count() == 0
+
+
+def test_a_key_with_most_rows_is_joined_as_any_other(spark):
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id % 900) END AS g", "id")
+    per = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last"))
+    got = join_held(rows, per, ["g"], "n")
+    assert got.columns == ["g", "id", "last", "n"]
+    want = {r.g: (r.n, r["last"]) for r in per.collect()}
+    out = got.collect()
+    assert sorted(r.id for r in out) == list(range(4000)) and all(want[r.g] == (r.n, r["last"]) for r in out)
+    assert join_held(rows, per.where("g = 'hot'"), ["g"], "n").count() == want["hot"][0]
+    assert join_held(rows.limit(0), per.limit(0), ["g"], "n").count() == 0
