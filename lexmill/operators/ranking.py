@@ -16,8 +16,8 @@ BM25F = {"url": 0.4, "title": 0.2, "body": 0.05, "header": 0.05, "anchor": 0.3}
 BM25F_B = {"url": 0.6, "title": 0.8, "body": 0.8, "header": 0.8, "anchor": 0.6}
 WINDOWS = {"url": 0.2, "title": 0.2, "body": 0.05, "header": 0.05, "anchor": 0.5}
 K1, LAMBDA, LENGTH_SMOOTH = 1.2, 1.0, 500
-#: Terms of queries that are broadcast to the documents at most.
-MAX_TERMS = 100_000
+#: Terms of queries that are broadcast to the documents, and queries that are broadcast to the records, at most.
+MAX_TERMS, MAX_QUERIES = 100_000, 50_000
 
 
 def records(features: DataFrame) -> DataFrame:
@@ -103,19 +103,22 @@ def term_idf(documents: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def query_vectors(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query, held, terms): for each query its different lower-cased terms in order, each with weight (1 + ln tf) * idf,
-    and how many of the rows it has."""
-    queries = materialise(rows.groupBy("query").agg(F.count(F.lit(1)).alias("held")), "queries")
-    at = queries.select("query", F.posexplode(tokens(F.lower("query"))).alias("pos", "term"))
+    """(query, terms): for each query its different lower-cased terms in order, each with weight (1 + ln tf) * idf."""
+    at = rows.select("query").distinct().select("query", F.posexplode(tokens(F.lower("query"))).alias("pos", "term"))
     counted = at.groupBy("query", "term").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
     weighted = counted.join(term_idf(documents, at.select("term").distinct()), "term")
     each = F.struct("pos", "term", (sublinear(F.col("tf")) * F.col("idf")).alias("weight"), "idf")
-    return weighted.groupBy("query").agg(F.array_sort(F.collect_list(each)).alias("terms")).join(queries, "query").select("query", "held", "terms")
+    return weighted.groupBy("query").agg(F.array_sort(F.collect_list(each)).alias("terms"))
 
 
 def with_query(rows: DataFrame, documents: DataFrame) -> DataFrame:
-    """rows with the terms of their query. Records are wide and few queries have most, so these stay where they are."""
-    return join_held(rows, materialise(query_vectors(rows, documents), "vectors"), ["query"], "held").drop("held")
+    """rows with the terms of their query. Records are wide and few queries have most of them, so the queries are
+    broadcast where they are few enough; else those with the most records are, and the others joined by hash."""
+    vectors = materialise(query_vectors(rows, documents), "vectors")
+    if vectors.limit(MAX_QUERIES + 1).count() <= MAX_QUERIES:
+        return rows.join(F.broadcast(vectors), "query")
+    held = rows.groupBy("query").agg(F.count(F.lit(1)).alias("held"))
+    return join_held(rows, materialise(vectors.join(held, "query"), "held"), ["query"], "held").drop("held")
 
 
 def _over_terms(value) -> Column:

@@ -165,3 +165,17 @@ def test_feature_files_of_many_splits(spark, tmp_path):
     assert set(got) == {("spark join", "http://www.a.example/spark/join"), ("spark join", "http://b.example/"), ("other", "http://c.example/"), ("last", "u"), ("last", "v")}
     assert got[("spark join", "http://www.a.example/spark/join")].title == "second"
     assert (got[("last", "u")].title, got[("last", "v")].pagerank) == ("b", 2)
+
+
+def test_idf_of_asked_terms_whatever_is_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([("a b A",), ("b c",), ("",), (None,)], "text string")
+    rows = spark.createDataFrame([("A b", 1), ("A b", 2), ("zzz", 3), ("c  c", 4)], "query string, n int")
+    want = None
+    for terms, queries in ((100, 100), (1, 1)):
+        monkeypatch.setattr(R, "MAX_TERMS", terms)
+        monkeypatch.setattr(R, "MAX_QUERIES", queries)
+        got = sorted((r.n, r["query"], [(t.term, round(t.weight, 9), round(t.idf, 9)) for t in r.terms]) for r in R.with_query(rows, docs).collect())
+        want = want or got
+        assert got == want
+    assert [(t, i) for t, _, i in want[0][2]] == [("a", round(math.log(3), 9)), ("b", round(math.log(1.5), 9))]
+    assert want[2][2][0][2] == round(math.log(3), 9) and want[3][2][0][1] == round((1 + math.log(2)) * math.log(3), 9)
