@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import slices
-from lexmill.session import bucketed, materialise, release, written
+from lexmill.session import bucketed, materialise, merged, release, written
 
 #: More subjects are an error: each is a column.
 MAX_SUBJECTS = 100
@@ -177,6 +177,8 @@ class _Graph:
         seeds = given.groupBy("doc_id").agg(*flags, F.every("valid").alias("complete"), F.some("valid").alias("any")).where("any").drop("any")
         if seeds.limit(max_seeds + 1).count() <= max_seeds:
             seeds = F.broadcast(seeds)
+        else:
+            seeds = merged(seeds)
         # Each sentence of a seed sends what the seed is labelled.
         g = self.columns("g")
         sent = raw.join(seeds, "doc_id").selectExpr(*[f"{c} / {_plus(g)} * mass AS s{j}" for j, c in enumerate(g)], "explode(concat(words, array(sentence))) AS node")
@@ -184,7 +186,7 @@ class _Graph:
         self.first_base = self.base(self.first, 0)
         # Words that many labels reach, of all subjects alike, tell nothing and have no links.
         told = self.first.selectExpr("node", f"{_plus(self.columns('s', 1))} AS reached", *self.shares(self.first_base))
-        self.nodes = materialise(self.nodes.join(told.where(f"node & 1 = 0 AND reached >= {REACHED}D AND {self.gain(self.first_base)} < {WORD_GAIN / 2 * self.unit}D"), "node", "left_anti"), "verified")
+        self.nodes = materialise(self.nodes.join(merged(told.where(f"node & 1 = 0 AND reached >= {REACHED}D AND {self.gain(self.first_base)} < {WORD_GAIN / 2 * self.unit}D")), "node", "left_anti"), "verified")
         found = self.nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("docs"), F.lit(0)).alias("links")).first()
         self.small = found["n"] * (self.k + 3) <= max_cells
         self.n = max(raw.sparkSession.sparkContext.defaultParallelism, -(-found["links"] // BUCKET))
@@ -202,7 +204,7 @@ class _Graph:
             return links.join(F.broadcast(terms), "node")
         salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
         spread = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return links.withColumn("salt", salt).join(spread, ["node", "salt"]).drop("salt")
+        return links.withColumn("salt", salt).join(merged(spread), ["node", "salt"]).drop("salt")
 
     def summed(self, sent: DataFrame, of_all: bool) -> DataFrame:
         """(node, mass, s0 ... sk): the labels sent to each term; the last is what came from sentences on no subject, if all sent."""

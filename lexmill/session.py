@@ -55,6 +55,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join by sorting. Without the hint Spark rates a written or exploded table by its compressed bytes, many times
+    too small, and may collect all of it on the driver to broadcast it."""
+    return df.hint("merge")
+
+
 def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
     """As materialise, in n buckets of the key: joins and groups by it with tables of as many buckets need no shuffle."""
     spark = df.sparkSession
