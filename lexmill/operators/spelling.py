@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.edits import edit_list, one_edit, osa
 from lexmill.functions.text import char_bigrams, lm_tokens, tokens
-from lexmill.session import materialise, partitions
+from lexmill.session import materialise, merged, partitions
 from lexmill.sources.files import read_model, write_model
 
 #: Letters of the channel and constants of the model (fixed values).
@@ -64,26 +64,30 @@ def neighbours(queries: DataFrame, uni: DataFrame) -> DataFrame:
 def word_candidates(words: DataFrame, uni: DataFrame) -> DataFrame:
     """(word, cand): dictionary words whose character pairs overlap enough with the word's; for one letter, the valid letters.
 
-    With g pairs in the word, and one at least in the candidate, more than (g + 1) / 3 must be shared, so a candidate
-    has one of the word's pairs that are left when the most frequent t - 1 are taken away, t being the least number
-    to share. Only those are joined; the overlap is then counted in the row, and what falls short is never shuffled.
+    Words of n and m characters must share more than (n + m - 2) / 3 pairs, so a candidate has one of the word's pairs
+    that are left when the most frequent of them are taken away, one less than must be shared: its p-th pair, the rarest
+    first, finds terms of at most 2 n - 3 p + 1 characters. The join is by pair and length, so it makes no other rows and
+    a frequent pair is many keys; the overlap is then counted in the row, and what falls short is never shuffled.
     """
-    given = words.select("word").distinct()
-    grams = kgrams(uni)
+    given, n_tasks = words.select("word").distinct(), partitions(uni.sparkSession)
+    grams = kgrams(uni).withColumn("m", F.length("term"))
     often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
     places = given.select("word", F.explode(char_bigrams(F.col("word"))).alias("gram"))
     # A pair that no dictionary word has is the rarest.
-    rated = places.join(often, "gram", "left").select("word", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram").alias("r"))
-    least = F.floor((F.length("word")) / 3) + 1
-    sorted_ = rated.groupBy("word").agg(F.array_sort(F.collect_list("r")).alias("all")).select("word", F.transform("all", lambda r: r["gram"]).alias("mine"))
-    kept = F.slice("mine", F.lit(1), F.greatest(F.size("mine") - least + 1, F.lit(0)).cast("int"))
+    rated = places.join(merged(often), "gram", "left").select("word", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram").alias("r"))
+    sorted_ = rated.groupBy("word").agg(F.array_sort(F.collect_list("r")).alias("all")).select("word", F.transform("all", lambda r: r["gram"]).alias("mine"), F.length("word").alias("n"))
+    # A term has one pair less than characters; it can share more only where the word repeats a pair.
+    single_pairs = F.size(F.array_distinct("mine")) == F.size("mine")
+    ranked = sorted_.select("word", "n", "mine", F.when(single_pairs, F.floor((F.col("n") + 1) / 2) + 1).otherwise(F.lit(2)).cast("int").alias("lo"), F.explode(F.array_distinct("mine")).alias("gram"))
+    hi = (2 * F.col("n") - 3 * F.array_position("mine", F.col("gram")) + 1).cast("int")
+    lengths = F.when(hi >= F.col("lo"), F.sequence("lo", F.greatest(hi, "lo"))).otherwise(F.array().cast("array<int>"))
+    rare = ranked.select("word", "n", "mine", "gram", F.explode(lengths).alias("m"))
     # Few bytes but much work: spread over all tasks, whatever their size.
-    rare = sorted_.select("word", "mine", F.explode(F.array_distinct(kept)).alias("gram")).repartition(partitions(uni.sparkSession), "word", "gram")
-    n, m = F.length("word"), F.length("term")
+    spread = lambda df: df.repartition(n_tasks, "gram", "m")
     num = F.size(F.filter("mine", lambda g: F.contains(F.col("term"), g)))
     # The overlap is at most the pairs of the word.
-    near = rare.join(grams, "gram").where(m - 1 < 2 * (n - 1))
-    close = near.where(F.try_divide(num.cast("double"), n + m - 2 - num) > LEAST_JACCARD).select("word", F.col("term").alias("cand")).distinct()
+    near = spread(rare).join(merged(spread(grams)), ["gram", "m"])
+    close = near.where(F.try_divide(num.cast("double"), F.col("n") + F.col("m") - 2 - num) > LEAST_JACCARD).select("word", F.col("term").alias("cand")).distinct()
     single = given.where("length(word) = 1").crossJoin(F.broadcast(valid_letters(uni))).select("word", F.col("letter").alias("cand"))
     return close.unionByName(single)
 

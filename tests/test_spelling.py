@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.edits import distances, edit_list, edits_of, one_edit, osa, tables
 from lexmill.operators import spelling as S
+from lexmill.session import materialise
 
 
 def plain(a, b):
@@ -124,3 +125,20 @@ def test_split_and_merge(spark):
     uni, bi = S.unigrams(lines), S.bigrams(lines)
     q = spark.createDataFrame([("controlgroup plan",), ("cont rol group",), ("plan",)], "query string")
     assert {r["query"]: r.alt for r in S.best_splits(q, uni, bi).collect()} == {"controlgroup plan": "control group plan", "cont rol group": "control group", "plan": "plan"}
+
+
+def _broadcast_joins(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_word_candidates_broadcast_no_pairs_of_the_dictionary(spark):
+    """Every pair of every word is far more than the bytes of the words that Spark rates it by."""
+    words = ["banana", "bananas", "ananas", "nana", "aaaa", "aa", "aaa", "bandana", "cabana", "an", "b", "havana"]
+    uni = materialise(spark.createDataFrame([(w, 1) for w in words], "term string, cnt long"), "words")
+    asked = ["banana", "aaaaaa", "anana", "havanna", "b", "bandanna"]
+    got = S.word_candidates(spark.createDataFrame([(w,) for w in asked], "word string"), uni)
+    assert _broadcast_joins(got) == 0
+    pairs = lambda w: [w[i : i + 2] for i in range(len(w) - 1)]
+    close = lambda w, c: (n := sum(g in pairs(c) for g in pairs(w))) / (len(w) + len(c) - 2 - n) > 0.5
+    right = {(w, c) for w in asked for c in words if len(w) > 1 and len(c) > 1 and close(w, c)} | {("b", "b")}
+    assert {(r.word, r.cand) for r in got.collect()} == right
