@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.text import tokens
 from lexmill.operators.positions import POS, global_positions
-from lexmill.session import materialise
+from lexmill.session import materialise, merged
 
 SEGMENT = 16_384
 NO_RESULT = "no results found"
@@ -70,13 +70,13 @@ def directory(posts: DataFrame) -> DataFrame:
 def query_words(queries: DataFrame, words: DataFrame) -> DataFrame:
     """(query, term, term_id): different tokens of each query; no term_id for words not in the dictionary."""
     at = queries.select("query").where("query IS NOT NULL").distinct().select("query", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    return at.join(words.select(F.col("word_id").alias("term_id"), "term"), "term", "left").select("query", "term", "term_id")
+    return at.join(merged(words.select(F.col("word_id").alias("term_id"), "term")), "term", "left").select("query", "term", "term_id")
 
 
 def rarest_words(looked_up: DataFrame, terms: DataFrame) -> DataFrame:
     """(query, term_id, n_terms, missing): the word of a query with the fewest occurrences, the least id among equals;
     none where words are missing from the dictionary or the postings."""
-    known = looked_up.join(terms, "term_id", "left")
+    known = looked_up.join(merged(terms), "term_id", "left")
     grouped = known.groupBy("query").agg(F.min(F.struct("cf", "term_id"))["term_id"].alias("least"), F.count(F.lit(1)).alias("n_terms"), F.count_if(F.col("cf").isNull()).alias("missing"))
     return grouped.select("query", F.when(F.col("missing") == 0, F.col("least")).alias("term_id"), "n_terms", "missing")
 
@@ -89,12 +89,14 @@ def boolean_and(queries: DataFrame, words: DataFrame, posts: DataFrame) -> DataF
     spreads evenly.
     """
     looked_up = materialise(query_words(queries, words), "words")
-    needed = materialise(posts.join(looked_up.select("term_id").distinct(), "term_id", "left_semi").select("term_id", "cf", "df", "doc_ids"), "needed")
+    needed = materialise(posts.join(merged(looked_up.select("term_id").distinct()), "term_id", "left_semi").select("term_id", "cf", "df", "doc_ids"), "needed")
     first = rarest_words(looked_up, directory(needed)).where("missing = 0")
     held = needed.select("term_id", F.explode("doc_ids").alias("doc_id"))
-    candidates = first.join(held, "term_id").select("query", F.col("term_id").alias("first_id"), "doc_id", "n_terms")
-    others = candidates.join(looked_up.select("query", "term_id"), "query").where("term_id <> first_id")
-    met = others.join(held, ["term_id", "doc_id"]).groupBy("query", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("n"))
+    words_of = looked_up.groupBy("query").agg(F.collect_set("term_id").alias("all"))
+    least = first.join(merged(words_of), "query").select("query", "term_id", "n_terms", F.array_except("all", F.array("term_id")).alias("others"))
+    candidates = least.join(merged(held), "term_id")
+    others = candidates.select("query", "doc_id", "n_terms", F.explode("others").alias("term_id"))
+    met = others.join(merged(held), ["term_id", "doc_id"]).groupBy("query", "doc_id", "n_terms").agg(F.count(F.lit(1)).alias("n"))
     several = met.where("n = n_terms - 1").select("query", "doc_id")
     return several.unionByName(candidates.where("n_terms = 1").select("query", "doc_id"))
 

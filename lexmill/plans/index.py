@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexmill.functions import codecs as C
 from lexmill.operators import index as I  # noqa: E741
 from lexmill.plans.problems import table
-from lexmill.session import materialise, shared_path
+from lexmill.session import materialise, merged, shared_path
 from lexmill.sources.files import read_directory, read_index, write_index
 
 
@@ -24,7 +24,7 @@ def _queries(spark, sf):
     """The ranking queries, and each word with its successor in the dictionary."""
     words = table(spark, sf, "word_dict").select("word_id", "term")
     after = words.select((F.col("word_id") - 1).alias("word_id"), F.col("term").alias("next"))
-    two = words.join(after, "word_id").select(F.concat_ws(" ", "term", "next").alias("query"))
+    two = words.join(merged(after), "word_id").select(F.concat_ws(" ", "term", "next").alias("query"))
     return table(spark, sf, "ranking_features").select("query").unionByName(two)
 
 

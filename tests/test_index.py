@@ -75,3 +75,15 @@ def test_index_is_written_and_read(spark, tmp_path):
     files.write_index(str(tmp_path / "i"), spark.createDataFrame([(1, "x/1")], "doc_id long, doc_name string"), spark.createDataFrame([(0, "a"), (1, "b")], "term_id int, term string"), I.postings(occ))
     docs, terms, posts = files.read_index(spark, str(tmp_path / "i"))
     assert (docs.count(), terms.count(), posts.count()) == (1, 2, 2)
+
+
+def test_conjunctive_search_broadcasts_no_postings(spark):
+    """The documents of postings are far more than the bytes of the arrays that Spark rates them by."""
+    words = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "word_id int, term string")
+    occ = spark.createDataFrame([("x", t, d) for t in range(3) for d in range(60) if d % (t + 1) == 0], "block string, term_id int, doc_id long")
+    got = I.boolean_and(spark.createDataFrame([("a b c",), ("c",), ("a z",), ("b a b",)], "query string"), words, I.postings(occ))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.query, []).append(r.doc_id)
+    assert {q: sorted(d) for q, d in by.items()} == {"a b c": list(range(0, 60, 6)), "c": list(range(0, 60, 3)), "b a b": list(range(0, 60, 2))}
