@@ -96,8 +96,8 @@ def looked_up(rows: DataFrame, key: str, uni: DataFrame, bi: DataFrame) -> DataF
     """(key, n, w): the words of each text in order, each with its count and that of the pair with the next word."""
     at = rows.select(key).distinct().select(key, F.posexplode(tokens(F.col(key))).alias("pos", "word"), tokens(F.col(key)).alias("all"))
     at = at.select(key, "pos", "word", F.try_element_at("all", F.col("pos") + 2).alias("next"))
-    counted = at.join(uni.select(F.col("term").alias("word"), F.col("cnt").alias("uni")), "word", "left")
-    paired = counted.join(bi.select(F.col("w1").alias("word"), F.col("w2").alias("next"), F.col("cnt").alias("bi")), ["word", "next"], "left")
+    counted = at.join(merged(uni.select(F.col("term").alias("word"), F.col("cnt").alias("uni"))), "word", "left")
+    paired = counted.join(merged(bi.select(F.col("w1").alias("word"), F.col("w2").alias("next"), F.col("cnt").alias("bi"))), ["word", "next"], "left")
     return paired.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "word", "uni", "bi"))).alias("w"))
 
 
@@ -124,22 +124,22 @@ def split_candidates(queries: DataFrame, uni: DataFrame, bi: DataFrame) -> DataF
     result's words and pairs are all known."""
     words = queries.select("query", tokens(F.col("query")).alias("all"))
     at = words.select("query", "all", F.posexplode("all").alias("pos", "word")).where(F.length("word") > SPLIT_OVER)
-    unknown = at.join(uni.select(F.col("term").alias("word")), "word", "left_anti")
+    unknown = at.join(merged(uni.select(F.col("term").alias("word"))), "word", "left_anti")
     cut = unknown.select("query", "all", "pos", "word", F.explode(F.sequence(F.lit(1), F.length("word") - 1)).alias("k"))
     halves = cut.withColumns({"w1": F.substring("word", F.lit(1), F.col("k")), "w2": F.substring("word", F.col("k") + 1, F.length("word"))})
-    known = halves.join(bi.select("w1", "w2"), ["w1", "w2"], "left_semi")
+    known = halves.join(merged(bi.select("w1", "w2")), ["w1", "w2"], "left_semi")
     splits = known.select("query", F.array_join(F.transform("all", lambda x, i: F.when(i == F.col("pos"), F.concat_ws(" ", "w1", "w2")).otherwise(x)), " ").alias("alt"))
     places = queries.select("query", F.explode(F.sequence(F.lit(1), F.greatest(F.length("query"), F.lit(1)))).alias("i")).where(F.substring("query", F.col("i"), F.lit(1)) == " ")
-    merged = places.select("query", F.concat(F.substring("query", F.lit(1), F.col("i") - 1), F.substring("query", F.col("i") + 1, F.length("query"))).alias("alt"))
-    seen = looked_up(merged, "alt", uni, bi)
+    shorter = places.select("query", F.concat(F.substring("query", F.lit(1), F.col("i") - 1), F.substring("query", F.col("i") + 1, F.length("query"))).alias("alt"))
+    seen = looked_up(shorter, "alt", uni, bi)
     sound = seen.where(F.forall("w", lambda x: x["uni"].isNotNull()) & (F.coalesce(coverage(F.col("w")), F.lit(1.0)) == 1)).select("alt")
-    return queries.select("query", F.col("query").alias("alt")).unionByName(splits).unionByName(merged.join(sound, "alt", "left_semi").select("query", "alt")).distinct()
+    return queries.select("query", F.col("query").alias("alt")).unionByName(splits).unionByName(shorter.join(merged(sound), "alt", "left_semi").select("query", "alt")).distinct()
 
 
 def best_splits(queries: DataFrame, uni: DataFrame, bi: DataFrame) -> DataFrame:
     """(query, alt): the split or merge with the highest coverage, the query itself among equals; a single word has the least."""
     options = split_candidates(queries, uni, bi)
-    scored = options.join(looked_up(options, "alt", uni, bi), "alt").withColumn("score", F.coalesce(coverage(F.col("w")), F.lit(-1.0)))
+    scored = options.join(merged(looked_up(options, "alt", uni, bi)), "alt").withColumn("score", F.coalesce(coverage(F.col("w")), F.lit(-1.0)))
     ranked = F.max_by(F.col("alt"), F.struct("score", (F.col("alt") == F.col("query")).alias("same"), "alt"))
     return scored.groupBy("query").agg(ranked.alias("alt"))
 
@@ -174,8 +174,8 @@ def replacements(seen: DataFrame, uni: DataFrame) -> DataFrame:
     open_ = slots.where(known).select("alt", words.alias("w"), "s.i", "s.j", F.col("w")[F.coalesce("s.i", F.lit(0))]["word"].alias("wi"), F.col("w")[F.coalesce("s.j", F.lit(0))]["word"].alias("wj"))
     asked = open_.where("i IS NOT NULL").select(F.col("wi").alias("word")).union(open_.where("j IS NOT NULL").select("wj"))
     near = materialise(word_candidates(asked, uni), "candidates")
-    one = open_.where("i IS NULL").withColumn("ci", F.lit(None).cast("string")).unionByName(open_.where("i IS NOT NULL").join(near.select(F.col("word").alias("wi"), F.col("cand").alias("ci")), "wi"))
-    two = one.where("j IS NULL").withColumn("cj", F.lit(None).cast("string")).unionByName(one.where("j IS NOT NULL").join(near.select(F.col("word").alias("wj"), F.col("cand").alias("cj")), "wj"))
+    one = open_.where("i IS NULL").withColumn("ci", F.lit(None).cast("string")).unionByName(open_.where("i IS NOT NULL").join(merged(near.select(F.col("word").alias("wi"), F.col("cand").alias("ci"))), "wi"))
+    two = one.where("j IS NULL").withColumn("cj", F.lit(None).cast("string")).unionByName(one.where("j IS NOT NULL").join(merged(near.select(F.col("word").alias("wj"), F.col("cand").alias("cj"))), "wj"))
     text = F.array_join(F.transform("w", lambda x, p: F.when(F.coalesce(p == F.col("i"), F.lit(False)), F.col("ci")).when(F.coalesce(p == F.col("j"), F.lit(False)), F.col("cj")).otherwise(x)), " ")
     return two.select("alt", text.alias("cand"))
 

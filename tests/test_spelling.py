@@ -142,3 +142,14 @@ def test_word_candidates_broadcast_no_pairs_of_the_dictionary(spark):
     close = lambda w, c: (n := sum(g in pairs(c) for g in pairs(w))) / (len(w) + len(c) - 2 - n) > 0.5
     right = {(w, c) for w in asked for c in words if len(w) > 1 and len(c) > 1 and close(w, c)} | {("b", "b")}
     assert {(r.word, r.cand) for r in got.collect()} == right
+
+
+def test_candidates_broadcast_no_model_and_no_candidates(spark):
+    lines = ["bond barrister court", "legal counsel court", "legal counsel bond", "a court"]
+    model = S.build(spark.createDataFrame([(x,) for x in lines], "line string"))
+    asked = spark.createDataFrame([("bond barristr",), ("legal cunsel",), ("legalcounsel",)], "query string")
+    splits = S.best_splits(asked, model.unigrams, model.bigrams)
+    assert _broadcast_joins(splits) == 0
+    got = S.candidates(splits.select("alt").distinct(), model.unigrams, model.bigrams)
+    assert _broadcast_joins(got) == 0
+    assert {("bond barristr", "bond barrister"), ("legal cunsel", "legal counsel"), ("legal counsel", "legal counsel")} <= {(r.alt, r.cand) for r in got.collect()}
