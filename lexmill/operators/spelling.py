@@ -206,20 +206,20 @@ def known_candidates(seen: DataFrame, model: "Model") -> DataFrame:
     words, had = F.transform("w", lambda x: x["word"]), F.filter("w", lambda x: x["uni"].isNotNull())
     texts = seen.select("alt", "w", F.transform(had, lambda x: x["word"]).alias("had"), _pair_keys(words).alias("pairs"))
     differing = lambda df: df.withColumn("t", F.split("cand", " ", -1)).select("alt", "cand", F.array_except("t", "had").alias("new"))
-    replaced = replacements(seen, model.unigrams).distinct().join(texts.select("alt", "had"), "alt")
+    replaced = replacements(seen, model.unigrams).distinct().join(merged(texts.select("alt", "had")), "alt")
     lost = F.transform(F.filter("w", lambda x: x["uni"].isNull()), lambda x: x["word"])
     close = differing(_close(seen.select("alt", F.transform(had, lambda x: x["word"]).alias("had"), lost.alias("lost")), model.unigrams).where(~F.arrays_overlap(F.split("cand", " ", -1), "lost")))
     every = materialise(differing(replaced).unionByName(close).dropDuplicates(["alt", "cand"]), "different")
     n = F.size("new")
-    found = every.where(n > 0).select("alt", "cand", n.alias("n"), F.explode("new").alias("term")).join(model.unigrams.select("term", F.col("cnt")), "term")
+    found = every.where(n > 0).select("alt", "cand", n.alias("n"), F.explode("new").alias("term")).join(merged(model.unigrams.select("term", F.col("cnt"))), "term")
     new_words = found.groupBy("alt", "cand", "n").agg(F.map_from_entries(F.collect_list(F.struct("term", "cnt"))).alias("words")).where(F.size("words") == F.col("n"))
     none = F.create_map().cast("map<string,bigint>")
     passed = new_words.select("alt", "cand", "words").unionByName(every.where(n == 0).select("alt", "cand", none.alias("words")))
-    ahead = materialise(passed.join(texts, "alt").withColumn("t", F.split("cand", " ", -1)).withColumn("fresh", F.array_except(_pair_keys(F.col("t")), "pairs")).drop("had", "pairs"), "known")
+    ahead = materialise(passed.join(merged(texts), "alt").withColumn("t", F.split("cand", " ", -1)).withColumn("fresh", F.array_except(_pair_keys(F.col("t")), "pairs")).drop("had", "pairs"), "known")
     parts = F.split("pair", " ", -1)
     pairs = ahead.select("alt", "cand", F.explode("fresh").alias("pair")).select("alt", "cand", "pair", parts[0].alias("w1"), parts[1].alias("w2"))
-    counted = pairs.join(model.bigrams, ["w1", "w2"]).groupBy("alt", "cand").agg(F.map_from_entries(F.collect_list(F.struct("pair", "cnt"))).alias("fresh_counts"))
-    both = ahead.join(counted, ["alt", "cand"], "left")
+    counted = pairs.join(merged(model.bigrams), ["w1", "w2"]).groupBy("alt", "cand").agg(F.map_from_entries(F.collect_list(F.struct("pair", "cnt"))).alias("fresh_counts"))
+    both = ahead.join(merged(counted), ["alt", "cand"], "left")
     own = lambda of: F.map_from_entries(F.array_distinct(of))
     had_words = own(F.transform(had, lambda x: F.struct(x["word"], x["uni"])))
     had_pairs = own(F.transform(F.filter("w", lambda x: x["bi"].isNotNull()), lambda x: F.struct(F.concat_ws(" ", x["word"], F.element_at("w", (x["pos"] + 2).cast("int"))["word"]), x["bi"])))

@@ -153,3 +153,17 @@ def test_candidates_broadcast_no_model_and_no_candidates(spark):
     got = S.candidates(splits.select("alt").distinct(), model.unigrams, model.bigrams)
     assert _broadcast_joins(got) == 0
     assert {("bond barristr", "bond barrister"), ("legal cunsel", "legal counsel"), ("legal counsel", "legal counsel")} <= {(r.alt, r.cand) for r in got.collect()}
+
+
+def _small_model(spark):
+    lines = ["bond barrister court", "legal counsel court", "legal counsel bond", "a court"]
+    return S.build(spark.createDataFrame([(x,) for x in lines], "line string"))
+
+
+def test_known_candidates_broadcast_no_table(spark):
+    model = _small_model(spark)
+    alts = spark.createDataFrame([("bond barristr",), ("legal cunsel",)], "alt string")
+    seen = materialise(S.suspicions(S.looked_up(alts, "alt", model.unigrams, model.bigrams)), "seen")
+    got = S.known_candidates(seen, model)
+    assert _broadcast_joins(got) == 0
+    assert ("legal cunsel", "legal counsel") in {(r.alt, r.cand) for r in got.collect()}
