@@ -313,7 +313,7 @@ def scored_candidates(alts: DataFrame, model: Model, pairs: DataFrame | None = N
     scored = materialise(known.select("alt", "cand", log_probability(F.col("w"), F.col("total")).alias("model")), "scored")
     if pairs is None:
         return scored.withColumn("channel", uniform_channel(F.col("cand"), F.col("alt")))
-    return scored.join(learned_channel(scored, pairs), ["alt", "cand"])
+    return scored.join(merged(learned_channel(scored, pairs)), ["alt", "cand"])
 
 
 def correct(queries: DataFrame, model: Model | DataFrame, pairs: DataFrame | None = None) -> DataFrame:

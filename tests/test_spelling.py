@@ -167,3 +167,11 @@ def test_known_candidates_broadcast_no_table(spark):
     got = S.known_candidates(seen, model)
     assert _broadcast_joins(got) == 0
     assert ("legal cunsel", "legal counsel") in {(r.alt, r.cand) for r in got.collect()}
+
+
+def test_learned_scores_join_by_sorting(spark):
+    model = _small_model(spark)
+    alts, pairs = spark.createDataFrame([("legal cunsel",)], "alt string"), spark.createDataFrame([("legal cunsel", "legal counsel")], "query string, corrected string")
+    got = S.scored_candidates(alts, model, pairs)
+    assert "SortMergeJoin [alt" in got._jdf.queryExecution().executedPlan().toString()
+    assert "legal counsel" in {r.cand for r in got.collect()}
