@@ -325,8 +325,8 @@ def correct(queries: DataFrame, model: Model | DataFrame, pairs: DataFrame | Non
     scored = scored_candidates(splits.select("alt").distinct(), model, pairs)
     rated = F.struct((-F.round(F.col("model") + F.col("channel"), 9)).alias("score"), "cand")
     best = scored.groupBy("alt").agg(F.min(rated)["cand"].alias("best"))
-    chosen = splits.join(best, "alt", "left").select("query", "best")
-    return queries.select("query").distinct().join(chosen, "query", "left").select("query", F.coalesce(F.nullif("best", F.lit("")), "query").alias("corrected"))
+    chosen = splits.join(merged(best), "alt", "left").select("query", "best")
+    return queries.select("query").distinct().join(merged(chosen), "query", "left").select("query", F.coalesce(F.nullif("best", F.lit("")), "query").alias("corrected"))
 
 
 def accuracy(corrected: DataFrame, gold: DataFrame) -> DataFrame:

@@ -175,3 +175,10 @@ def test_learned_scores_join_by_sorting(spark):
     got = S.scored_candidates(alts, model, pairs)
     assert "SortMergeJoin [alt" in got._jdf.queryExecution().executedPlan().toString()
     assert "legal counsel" in {r.cand for r in got.collect()}
+
+
+def test_correction_broadcasts_no_query(spark):
+    queries = spark.createDataFrame([("legal cunsel",), (None,), ("bond barristr",)], "query string")
+    got = S.correct(queries, _small_model(spark))
+    assert _broadcast_joins(got) == 0
+    assert {r.query: r.corrected for r in got.collect()} == {"legal cunsel": "legal counsel", "bond barristr": "bond barrister", None: None}
