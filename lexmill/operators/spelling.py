@@ -331,7 +331,7 @@ def correct(queries: DataFrame, model: Model | DataFrame, pairs: DataFrame | Non
 
 def accuracy(corrected: DataFrame, gold: DataFrame) -> DataFrame:
     """One row over (query, corrected) and gold (query, gold): share that is right, other word counts, empty results."""
-    both = corrected.join(gold, "query")
+    both = corrected.join(merged(gold), "query")
     words = lambda c: F.size(tokens(F.col(c)))
     return both.agg(F.avg((F.col("corrected") == F.col("gold")).cast("int")).alias("share_right"), F.count_if(words("corrected") != words("gold")).alias("other_word_count"), F.count_if(F.col("corrected") == "").alias("n_empty"))
 

@@ -182,3 +182,10 @@ def test_correction_broadcasts_no_query(spark):
     got = S.correct(queries, _small_model(spark))
     assert _broadcast_joins(got) == 0
     assert {r.query: r.corrected for r in got.collect()} == {"legal cunsel": "legal counsel", "bond barristr": "bond barrister", None: None}
+
+
+def test_accuracy_broadcasts_no_query(spark):
+    rows = [("a b", "a c"), ("d", "d")]
+    got = S.accuracy(spark.createDataFrame(rows, "query string, corrected string"), spark.createDataFrame([("a b", "a c"), ("d", "e f")], "query string, gold string"))
+    assert _broadcast_joins(got) == 0
+    assert tuple(got.first()) == (0.5, 1, 0)
