@@ -273,7 +273,8 @@ def learned_channel(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     long = edits.select("alt", "cand", F.explode("e").alias("e")).select("alt", "cand", "e.op", "e.a", "e.b")
     kinds = _with_base(long.select("op", "a", "b").distinct(), letters, grams).join(channel(pairs), ["op", "a", "b"], "left")
     priced = kinds.select("op", "a", "b", F.log(F.coalesce("p", 1 / F.col("base"))).alias("ln_p"))
-    summed = long.join(priced, ["op", "a", "b"]).groupBy("alt", "cand").agg(F.sum("ln_p").alias("channel"))
+    # Different edits are few, as many as pairs of letters; Spark would take the exploded ones for the smaller side.
+    summed = long.join(F.broadcast(priced), ["op", "a", "b"]).groupBy("alt", "cand").agg(F.sum("ln_p").alias("channel"))
     same = edits.where("size(e) = 0").select("alt", "cand", F.log(F.lit(P_EQUAL)).alias("channel"))
     return summed.unionByName(same)
 

@@ -174,6 +174,8 @@ def test_learned_scores_join_by_sorting(spark):
     alts, pairs = spark.createDataFrame([("legal cunsel",)], "alt string"), spark.createDataFrame([("legal cunsel", "legal counsel")], "query string, corrected string")
     got = S.scored_candidates(alts, model, pairs)
     assert "SortMergeJoin [alt" in got._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin [op" in x]
+    assert any("BuildRight" in x for x in joins) and not any("BuildLeft" in x for x in joins)
     assert "legal counsel" in {r.cand for r in got.collect()}
 
 
